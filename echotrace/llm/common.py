@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -78,3 +79,18 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark clean shuffle files of stages that are written and no longer referenced, instead of at its driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def cuts(df: DataFrame, column: str, n: int) -> list[int]:
+    """n-1 ascending bounds that deal the column's values into n ranges of like size; reads that column alone."""
+    if n < 2:
+        return []
+    shares = [i / n for i in range(1, n)]
+    found = df.agg(F.percentile_approx(column, F.array(*map(F.lit, shares)), 10 * n).alias("q")).first()
+    return sorted(set(found.q or []))
