@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from echotrace.llm.byte_bpe import op3_byte_bpe
 from echotrace.llm.exact_digest import op4_exact_digest
 from echotrace.llm.simhash import op2_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_digest": op4_exact_digest,
 }
 
