@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from echotrace.llm.byte_bpe import op3_byte_bpe
 from echotrace.llm.exact_digest import op4_exact_digest
+from echotrace.llm.packing import op7_best_fit_packing
 from echotrace.llm.simhash import op2_simhash_near_dedup
+from echotrace.llm.token_frames import op6_token_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_digest": op4_exact_digest,
+    "op6_token_frames": op6_token_frames,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 SQL: dict[str, str] = {}
