@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds at most: bounds a Python worker's memory when texts are very long.
-BATCH_ROWS = 500
+#: Rows and bytes an Arrow batch holds at most: bounds a Python worker's memory when texts are very long.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +47,13 @@ def _drop(spark: SparkSession, folder: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows from a table in the shared folder: a lost executor costs a read, not the stage again."""
     spark = df.sparkSession
-    folder = new_folder(spark, name)
-    df.write.parquet(folder)
+    folder, clean = new_folder(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")  # the shuffle files go with the write's end, as only the table is read later
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(clean, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -58,6 +62,7 @@ def per_batch(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], dict]) -
     spark = df.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     want = spark.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -81,12 +86,6 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark clean shuffle files of stages that are written and no longer referenced, instead of at its driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def cuts(df: DataFrame, column: str, n: int) -> list[int]:
     """n-1 ascending bounds that deal the column's values into n ranges of like size; reads that column alone."""
     if n < 2:

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import cuts, id_and_text, partitions, per_batch, release, table, written
+from echotrace.llm.common import cuts, id_and_text, partitions, per_batch, table, written
 
 #: Level of the compression in which texts move between stages; equal texts give equal bytes.
 LEVEL = 3
@@ -55,7 +55,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     forms = per_batch(id_and_text(docs, id_col, text_col), "doc_id long, fingerprint string, form binary", of)
     found = forms.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"), (F.min("form") != F.max("form")).alias("mixed"))
     found = written(found, "buckets")
-    release(docs.sparkSession)
     mixed = found.where("mixed").select("fingerprint")
     if mixed.isEmpty():
         return found.drop("mixed"), None
@@ -119,7 +118,6 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     want = spark.createDataFrame([], f"kind string, at int, body binary, {ROW}").schema
     schema = to_arrow_schema(want)
     walked = written(ordered.mapInArrow(walk, want), "walked")
-    release(spark)
     ends = [x["at"] for x in walked.where("kind = 'head'").select("at").orderBy("at").collect()]  # one number a range
     follows = spark.createDataFrame(list(zip(ends, ends[1:] + ends[:1])), "at int, next_at int")
     heads = walked.where("kind = 'head'").select(F.col("at").alias("next_at"), F.col("body").alias("next_body"))
