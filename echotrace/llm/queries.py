@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from echotrace.llm.byte_bpe import op3_byte_bpe
 from echotrace.llm.exact_digest import op4_exact_digest
 from echotrace.llm.packing import op7_best_fit_packing
+from echotrace.llm.quality import op1_quality_classifier
 from echotrace.llm.simhash import op2_simhash_near_dedup
 from echotrace.llm.token_frames import op6_token_frames
+from echotrace.llm.toxicity import op8_toxicity_cnn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_exact_digest": op4_exact_digest,
     "op6_token_frames": op6_token_frames,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_toxicity_cnn": op8_toxicity_cnn,
 }
 
 SQL: dict[str, str] = {}
