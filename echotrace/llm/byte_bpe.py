@@ -1,8 +1,7 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries, one connection a Python worker.
 
-A text is cut at single spaces between other characters, where the split pattern always starts a new match, so a
-chunk's ids are the same wherever it stands and each worker encodes a chunk once while it remembers it. The
-matches inside new chunks become token-position rows; a recursive query joins neighbours with the merge table
+Texts are put together from chunks (see chunks.py), which each worker encodes once while it remembers them. The
+split pattern's matches inside new chunks become token-position rows; a recursive query joins neighbours with the merge table
 and contracts each word's leftmost pair of minimum rank until no pair is left. Words of more than LONG_WORD bytes
 take the same contraction by a heap, as the recursive query's rows grow with the square of a word's length.
 Decoding joins each document's ids with the vocabulary and concatenates the bytes by ordered aggregation.
@@ -16,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 
 import duckdb
 import numpy as np
@@ -25,17 +23,15 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from echotrace.llm.chunks import ChunkCoder
 from echotrace.llm.common import id_and_text, per_batch, table
 
 LONG_WORD = 128
-#: Chunks and words a worker remembers; beyond it forgets them all and goes on.
-REMEMBERED = 400_000
+#: Words a worker remembers; beyond it forgets them all and goes on.
+REMEMBERED = 300_000
 #: Ids decoded by one query.
 DECODED = 1 << 20
 
-_ODD_SPACE = re.compile(r"\s |  | \s|^ | $")
-_SPACE = re.compile(r"(?<=\S) (?=\S)")
-
 MERGES = """
 CREATE TABLE merges AS
 SELECT a.id AS l, b.id AS r, t.id AS id
@@ -91,11 +87,6 @@ def contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut at single spaces that stand between other characters; the spaces are dropped."""
-    return _SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-
-
 class Codec:
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN) -> None:
         with open(path, "rb") as f:
@@ -108,8 +99,7 @@ class Codec:
         self.db.unregister("vocabulary_rows")
         self.db.execute(MERGES)
         self.words: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}  #: chunks at a text's start
-        self.chunks: dict[str, bytes] = {}  #: chunks after a single space
+        self.chunks = ChunkCoder(lambda x: self._found([self.pattern.findall(" " + c) for c in x]), lambda x: self._found([self.pattern.findall(c) for c in x]))
 
     def _learn_words(self, new: list[str]) -> None:
         coded = [x.encode() for x in new]
@@ -126,31 +116,16 @@ class Codec:
                 self.words[new[i]] = flat[a:b]
         self.db.unregister("words")
 
-    def _learn(self, new: set[str], known: dict[str, bytes], before: str) -> None:
-        """new: chunks that known lacks, which stand after `before`."""
+    def _found(self, parts: list[list[str]]) -> list[bytes]:
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        parts = [(x, self.pattern.findall(before + x)) for x in new]
-        if missing := {w for _, p in parts for w in p} - self.words.keys():
+        if missing := {w for p in parts for w in p}.difference(self.words):
             self._learn_words(list(missing))
-        for x, p in parts:
-            known[x] = b"".join([self.words[w] for w in p])
+        return [b"".join([self.words[w] for w in p]) for p in parts]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, a text each."""
-        firsts, rests = [], []
-        for x in texts:
-            first, *rest = chunks(x)
-            firsts.append(first)
-            rests.append(rest)
-        for wanted, known, before in ((set(firsts), self.firsts, ""), (set().union(*rests), self.chunks, " ")):
-            if new := wanted - known.keys():
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = wanted
-                self._learn(new, known, before)
-        after = self.chunks.__getitem__
-        return [self.firsts[first] + b"".join(map(after, rest)) for first, rest in zip(firsts, rests)]
+        return self.chunks.encode_each(texts)
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         out, at = [b""] * len(ids), 0
@@ -183,7 +158,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def of(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "ids": codec(path).encode(batch.column("text").to_pylist())}
+        return {"doc_id": batch.column("doc_id"), "ids": codec(path).encode(batch.column("text"))}
 
     return per_batch(id_and_text(docs, id_col, text_col), "doc_id long, ids binary", of)
 
@@ -204,7 +179,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def of(batch: pa.RecordBatch) -> dict:
         c = codec(path)
-        ids = c.encode(batch.column("text").to_pylist())
+        ids = c.encode(batch.column("text"))
         return {
             "doc_id": batch.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
             "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in c.decode(ids)],

@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
 
     def cut(batch: pa.RecordBatch) -> dict:
         end, out = np.array([end_id], "<u4").tobytes(), []
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(vocabulary).encode(batch.column("text").to_pylist())):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(vocabulary).encode_each(batch.column("text"))):
             ids += end
             n = len(ids) // 4
             edges = [0, *range(n % capacity or capacity, n + 1, capacity)]

@@ -133,7 +133,7 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
     def tokenise(batch: pa.RecordBatch) -> dict:
         zipped, end, ids = zstandard.ZstdCompressor(level=1), np.array([end_id], "<u4").tobytes(), batch.column("doc_id")
         part = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
-        return {"part": pa.array(part), "doc_id": ids, "ids": [zipped.compress(x + end) for x in encoder(vocabulary).encode(batch.column("text").to_pylist())]}
+        return {"part": pa.array(part), "doc_id": ids, "ids": [zipped.compress(x + end) for x in encoder(vocabulary).encode_each(batch.column("text"))]}
 
     dealt = per_batch(source, "part int, doc_id long, ids binary", tokenise).repartitionById(len(bounds) + 1, F.col("part"))
     want = spark.createDataFrame([], "part int, file string, n_docs long, n_tokens long, n_bytes long").schema

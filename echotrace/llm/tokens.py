@@ -1,24 +1,52 @@
-"""Token ids by the tokenizers library; a worker encodes a chunk between single spaces once while it remembers it.
+"""Token ids by the tokenizers library, each distinct word of a batch encoded once.
 
-The byte-level pre-tokenizer always starts a new piece at a single space between other characters, so a chunk's
-ids are the same wherever it stands. New chunks are encoded as one string; in it, only a chunk's first token starts
-with a space, which tells the chunks apart.
+A byte-level pre-tokenizer starts a new piece at a single space between other characters, and keeps letters apart
+from the punctuation after them. So a batch is cut at spaces into chunks, a chunk into its letters and its
+punctuation; the library encodes what is distinct, many to a string (only a chunk's first token starts with a space,
+which tells them apart), and the texts' ids are gathered from those. A text in which white space meets a space is
+encoded whole. Nothing is remembered between batches.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
-REMEMBERED = 400_000
-#: Characters of new chunks encoded at a time.
-AT_ONCE = 200_000
+#: Chunks in a string that the library encodes.
+JOINED = 100
+#: White space of the pre-tokenizer's pattern, and ASCII punctuation.
+SPACES = r"\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_EDGE = f"^$|^[{SPACES}]|[{SPACES}]$"
 
-_ODD_SPACE = re.compile(r"\s |  | \s|^ | $")
-_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
+class Table:
+    """Lists of ids in a row, with where each begins and how many it has."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids, self.sizes = ids, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    def take(self, at: np.ndarray) -> Table:
+        sizes = self.sizes[at]
+        total = int(sizes.sum())
+        begin = np.repeat((self.starts[at] - np.cumsum(sizes) + sizes).astype(np.int32), sizes)  # a batch has less than 2^31 ids
+        begin += np.arange(total, dtype=np.int32)
+        return Table(self.ids[begin], sizes)
+
+    def joined(self, other: Table) -> Table:
+        return Table(np.concatenate([self.ids, other.ids]), np.concatenate([self.sizes, other.sizes]))
+
+    def merged(self, counts: np.ndarray) -> Table:
+        """Consecutive lists put together, counts of them at a time."""
+        edges = np.concatenate([[0], np.cumsum(self.sizes)])
+        ends = np.cumsum(counts)
+        return Table(self.ids, edges[ends] - edges[ends - counts])
 
 
 class Encoder:
@@ -28,54 +56,54 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        size = self.library.get_vocab_size()
-        self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.firsts: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        joined = [x for x in new if x and " " not in x and not x[0].isspace() and not x[-1].isspace()]
-        at = 0
-        while at < len(joined):
-            stop, size = at, 0
-            while stop < len(joined) and size < AT_ONCE:
-                size += len(joined[stop]) + 1
-                stop += 1
-            ids = np.array(self.library.encode(" " + " ".join(joined[at:stop]), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) != stop - at:
-                self.chunks.update(zip(joined[at:stop], self._alone([" " + x for x in joined[at:stop]])))
-            else:
-                body, edges = ids.tobytes(), [*(starts * 4).tolist(), 4 * len(ids)]
-                self.chunks.update(zip(joined[at:stop], [body[a:b] for a, b in zip(edges, edges[1:])]))
-            at = stop
-        rest = [x for x in new if x not in self.chunks]
-        self.chunks.update(zip(rest, self._alone([" " + x for x in rest])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, a text each, without special tokens."""
-        firsts, rests = [], []
-        for x in texts:
-            first, *rest = _SPACE.split(x) if _ODD_SPACE.search(x) else x.split(" ")
-            firsts.append(first)
-            rests.append(rest)
-        wanted = set().union(*rests)
-        if new := wanted - self.chunks.keys():
-            if len(self.chunks) + len(new) > REMEMBERED:
-                self.chunks.clear()
-                new = wanted
-            self._learn(list(new))
-        if new := set(firsts) - self.firsts.keys():
-            if len(self.firsts) + len(new) > REMEMBERED:
-                self.firsts.clear()
-                new = set(firsts)
-            new = list(new)
-            self.firsts.update(zip(new, self._alone(new)))
-        after = self.chunks.__getitem__
-        return [self.firsts[first] + b"".join(map(after, rest)) for first, rest in zip(firsts, rests)]
+        self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(self.library.get_vocab_size())])
+
+    def _table(self, texts: list[str]) -> Table:
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return Table(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+
+    def _after_space(self, chunks: list[str]) -> Table:
+        groups = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
+        whole = self._table([" " + " ".join(g) for g in groups])
+        starts = np.flatnonzero(self.spaced[whole.ids])
+        if len(starts) == len(chunks):
+            return Table(whole.ids, np.diff(np.append(starts, len(whole.ids))))
+        return self._table([" " + x for x in chunks])  # a vocabulary that joins them
+
+    def encode(self, texts: pa.StringArray) -> Table:
+        """A list of ids for each text, without special tokens."""
+        lists = pc.split_pattern(texts, " ")
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        edges -= edges[0]
+        words = lists.flatten().dictionary_encode()
+        at, chunks, starts, counts = words.indices.to_numpy().astype(np.int64), words.dictionary, edges[:-1], np.diff(edges)
+        first = chunks.take(pa.array(at[starts]))
+        edge = pc.match_substring_regex(chunks, _EDGE).to_numpy(zero_copy_only=False)
+        bad = edge[at]
+        # a text's first chunk may begin with any white space but must not end with it, or be empty, before a space
+        bad[starts] = pc.match_substring_regex(first, f"^$|[{SPACES}]$").to_numpy(zero_copy_only=False) & (counts > 1)
+        odd = np.logical_or.reduceat(bad, starts)
+        stems = pc.utf8_rtrim(chunks, characters=MARKS)
+        parted = pc.and_(pc.utf8_is_alpha(stems), pc.not_equal(stems, chunks))
+        stem = pc.if_else(edge, "x", pc.if_else(parted, stems, chunks)).dictionary_encode()
+        tail = pc.if_else(parted, pc.replace_substring_regex(chunks, r"^\pL+", ""), "").dictionary_encode()
+        parts = self._after_space(stem.dictionary.to_pylist()).joined(self._table(tail.dictionary.to_pylist()))
+        pairs = np.stack([stem.indices.to_numpy(), tail.indices.to_numpy() + len(stem.dictionary)], axis=1).ravel()
+        table = parts.take(pairs).merged(np.full(len(chunks), 2))
+        heads = first.to_pylist()
+        for i in np.flatnonzero(odd).tolist():
+            heads[i] = texts[i].as_py()
+        table = table.joined(self._table(heads)).joined(Table(np.zeros(0, np.uint32), np.zeros(1, np.int64)))
+        at[np.repeat(odd, counts)] = len(table.sizes) - 1
+        at[starts] = len(chunks) + np.arange(len(starts))
+        return table.take(at).merged(counts)
+
+    def encode_each(self, texts: pa.StringArray) -> list[bytes]:
+        """Little-endian unsigned 32-bit integers, a text each."""
+        found = self.encode(texts)
+        body, edges = found.ids.astype("<u4").tobytes(), [*(4 * found.starts).tolist(), 4 * len(found.ids)]
+        return [body[a:b] for a, b in zip(edges, edges[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
