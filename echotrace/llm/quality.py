@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import id_and_text, per_batch, table
+from echotrace.llm.common import id_and_text, per_batch, scored, table
 from echotrace.llm.labelled import Sample, remainder, sample
 
 WINDOW = 2048
@@ -122,6 +122,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return per_batch(id_and_text(docs, id_col, text_col), "doc_id long, score double", of)
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores the threshold or more."""
+    return docs.where(scored(docs, model, scores, text_col) >= threshold)
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(sample(docs, labels.where(remainder(5) != 0), "quality"))

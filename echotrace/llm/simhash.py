@@ -19,7 +19,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echotrace.llm.common import id_and_text, per_batch, table, written
@@ -125,5 +125,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(whole, "fp").select("doc_id", hexed, "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """The rows, with all their columns, whose id is the smallest of its group; of rows with one id, one stays. Rows without an id stay."""
+    unnamed, docs = docs.where(F.col(id_col).isNull()), docs.where(F.col(id_col).isNotNull())
+    found = near_duplicates(docs, id_col, text_col, shingle)
+    kept = written(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")), "kept")
+    rows = docs.join(kept, docs[id_col].cast("long") == kept["__kept"])
+    single, several = rows.where("__n = 1").drop("__kept", "__n").unionByName(unnamed), kept.where("__n > 1")
+    if several.isEmpty():
+        return single
+    numbered = Window.partitionBy("__kept").orderBy(F.xxhash64(text_col))
+    return single.unionByName(rows.where("__n > 1").withColumn("__n", F.row_number().over(numbered)).where("__n = 1").drop("__kept", "__n"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
