@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import string
 
 import duckdb
 import numpy as np
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from echotrace.llm.chunks import ChunkCoder
 from echotrace.llm.common import id_and_text, per_batch, table
 
-LONG_WORD = 128
-#: Words a worker remembers; beyond it forgets them all and goes on.
-REMEMBERED = 300_000
+LONG_WORD = 128  # less than the 1024 places that the query packs beside a rank
+#: Words a worker remembers as lately met; it keeps as many again that were met before those.
+REMEMBERED = 500_000
 #: Ids decoded by one query.
 DECODED = 1 << 20
 
@@ -41,21 +42,23 @@ JOIN vocabulary a ON a.piece = t.piece[:t.cut] JOIN vocabulary b ON b.piece = t.
 
 #: words(word, piece in hex) to ids in order. A word's last round holds its final tokens; a word that is a token itself is that token.
 ENCODE = """
-WITH RECURSIVE known AS (SELECT w.word, v.id FROM words w JOIN vocabulary v USING (piece)),
-state(round, word, pos, id) AS (
-    SELECT 0, b.word, b.pos, v.id
-    FROM (SELECT word, piece, unnest(range(0, length(piece) // 2)) AS pos FROM words WHERE word NOT IN (SELECT word FROM known)) b
-    JOIN vocabulary v ON v.piece = b.piece[2 * b.pos + 1 : 2 * b.pos + 2]
+WITH RECURSIVE known AS MATERIALIZED (SELECT w.word, v.id FROM words w JOIN vocabulary v USING (piece)),
+state(round, word, pos, id, following, following_pos) AS (
+    SELECT 0, word, pos, id, lead(id) OVER w, lead(pos) OVER w
+    FROM (
+        SELECT b.word, b.pos, v.id
+        FROM (SELECT word, piece, unnest(range(0, length(piece) // 2)) AS pos FROM words WHERE word NOT IN (SELECT word FROM known)) b
+        JOIN vocabulary v ON v.piece = b.piece[2 * b.pos + 1 : 2 * b.pos + 2]
+    ) WINDOW w AS (PARTITION BY word ORDER BY pos)
     UNION ALL
-    (WITH pairs AS (
-        SELECT round, word, pos, id, lead(id) OVER w AS following, lag(pos) OVER w AS previous FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ), ranked AS (
-        SELECT p.*, m.id AS merged FROM pairs p LEFT JOIN merges m ON m.l = p.id AND m.r = p.following
-    ), chosen AS (
-        SELECT word, min({'rank': merged, 'pos': pos}) AS best FROM ranked WHERE merged IS NOT NULL GROUP BY word
+    (WITH chosen AS (
+        SELECT s.word, min(m.id::BIGINT * 1024 + s.pos) AS best, arg_min(s.following_pos, m.id::BIGINT * 1024 + s.pos) AS gone
+        FROM state s JOIN merges m ON m.l = s.id AND m.r = s.following GROUP BY s.word
+    ), contracted AS (
+        SELECT s.round + 1 AS round, s.word, s.pos, CASE WHEN s.pos = c.best % 1024 THEN (c.best // 1024)::INTEGER ELSE s.id END AS id
+        FROM state s JOIN chosen c USING (word) WHERE s.pos <> c.gone
     )
-    SELECT r.round + 1, r.word, r.pos, CASE WHEN r.pos = c.best.pos THEN c.best.rank ELSE r.id END
-    FROM ranked r JOIN chosen c USING (word) WHERE r.previous IS DISTINCT FROM c.best.pos)
+    SELECT round, word, pos, id, lead(id) OVER w, lead(pos) OVER w FROM contracted WINDOW w AS (PARTITION BY word ORDER BY pos))
 ), last AS (SELECT word, max(round) AS round FROM state GROUP BY word)
 SELECT word, list(id ORDER BY pos) AS ids FROM state JOIN last USING (word, round) GROUP BY word
 UNION ALL SELECT word, [id] FROM known
@@ -98,8 +101,9 @@ class Codec:
         self.db.execute("INSERT INTO vocabulary SELECT id, piece FROM vocabulary_rows")
         self.db.unregister("vocabulary_rows")
         self.db.execute(MERGES)
-        self.words: dict[str, bytes] = {}
-        self.chunks = ChunkCoder(lambda x: self._found([self.pattern.findall(" " + c) for c in x]), lambda x: self._found([self.pattern.findall(c) for c in x]))
+        self.words: dict[str, bytes] = {}  #: lately met
+        self.early: dict[str, bytes] = {}  #: met before those
+        self.chunks = ChunkCoder(self._after, lambda x: self._found([self.pattern.findall(c) for c in x]), 300_000)
 
     def _learn_words(self, new: list[str]) -> None:
         coded = [x.encode() for x in new]
@@ -117,11 +121,22 @@ class Codec:
         self.db.unregister("words")
 
     def _found(self, parts: list[list[str]]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if missing := {w for p in parts for w in p}.difference(self.words):
+        wanted = {w for p in parts for w in p}
+        if (missing := wanted.difference(self.words)) and len(self.words) + len(missing) > REMEMBERED:
+            self.early, self.words, missing = self.words, {}, wanted
+        if again := missing.intersection(self.early):
+            self.words.update((w, self.early[w]) for w in again)
+            missing = missing.difference(again)
+        if missing:
             self._learn_words(list(missing))
-        return [b"".join([self.words[w] for w in p]) for p in parts]
+        words = self.words
+        return [words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p]) for p in parts]
+
+    def _after(self, chunks: list[str]) -> list[bytes]:
+        """Letters and the punctuation after them are separate matches; other chunks are left to the pattern."""
+        marks, find = string.punctuation, self.pattern.findall
+        stems = [x.rstrip(marks) for x in chunks]
+        return self._found([([" " + s, x[len(s) :]] if len(s) < len(x) else [" " + s]) if s.isalpha() else find(" " + x) for s, x in zip(stems, chunks)])
 
     def encode(self, texts: pa.StringArray) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, a text each."""
