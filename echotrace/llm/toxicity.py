@@ -31,8 +31,8 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 BEGINNINGS = (4, 5, 6, 7)
 EPOCHS, RATE, DOCS_A_STEP = 6, 0.02, 64
 THRESHOLD = 0.3
-#: Chunks a worker remembers.
-REMEMBERED = 300_000
+#: Chunks a worker remembers, and characters of whole texts that it scores at a time, which bounds its arrays.
+REMEMBERED, SCORED_CHARS = 200_000, 1_000_000
 #: Words that tell a language, as fixed values.
 FUNCTION_WORDS = {
     "de": "der die das und ist nicht ein eine mit von zu auf für den dem sich auch es an werden",
@@ -227,7 +227,19 @@ _vocabularies: dict[str, Vocabulary] = {}
 def scores(texts: list[str], model: Model) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(texts), model.constant)
-    vocabulary = _vocabularies.setdefault("own", Vocabulary())
+    vocabulary, out, held, size = _vocabularies.setdefault("own", Vocabulary()), [], [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > SCORED_CHARS:
+            out.append(_scores(held, model, vocabulary))
+            held, size = [], 0
+    if held:
+        out.append(_scores(held, model, vocabulary))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _scores(texts: list[str], model: Model, vocabulary: Vocabulary) -> np.ndarray:
     flat, starts = vocabulary.read(texts)
     own, local = np.unique(flat, return_inverse=True)
     z = _responses(local, starts, model.embeddings[vocabulary.buckets(own)].sum(1), model.filters, model.bias) @ model.out[:-1] + model.out[-1]
