@@ -120,15 +120,15 @@ def cell_operation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks of 40 parts as series: x, 2 x, 1000 - x and 1000 / x of the price, under headers that tell of nothing derived."""
+    """Blocks of 40 parts as series: 2 x, x, 1000 - x and 1000 / x of the price, under headers that tell of nothing derived."""
     rows = _t(spark, sf, "part").withColumns({"block": F.floor(F.col("p_partkey") / 40).cast("int"), "x": _hundredths("p_retailprice")})
-    columns = {"a": F.col("x"), "b": F.col("x") * 2, "c": F.lit(1000).cast("decimal(38,2)") - F.col("x"), "d": F.round(F.lit(1000.0) / F.col("x").cast("double"), 12)}
+    columns = {"a": F.col("x") * 2, "b": F.col("x"), "c": F.lit(1000).cast("decimal(38,2)") - F.col("x"), "d": F.round(F.lit(1000.0) / F.col("x").cast("double"), 12)}
     cells = melt(rows, "part", F.col("p_partkey") + 1, columns, header_row=F.col("block"))
     return series.build(cells, SETTINGS.medium_run_length)
 
 
 _SERIES = """WITH p AS (SELECT p_partkey AS k, p_partkey // 40 AS block, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part),
-m AS (SELECT block, col, k, CASE col WHEN 1 THEN c / 100 WHEN 2 THEN 2 * c / 100 WHEN 3 THEN (100000 - c) / 100 ELSE round(1000.0::DOUBLE / (c / 100), 12) END AS v FROM p, range(1, 5) t(col)),
+m AS (SELECT block, col, k, CASE col WHEN 1 THEN 2 * c / 100 WHEN 2 THEN c / 100 WHEN 3 THEN (100000 - c) / 100 ELSE round(1000.0::DOUBLE / (c / 100), 12) END AS v FROM p, range(1, 5) t(col)),
 s AS (SELECT col, block, col * 1000000 + block AS id, list(v ORDER BY k) AS v, count(*) AS n FROM m GROUP BY col, block HAVING count(*) >= 3),
 q AS (SELECT a.col AS first_column, a.block AS first_block, b.col AS second_column, b.block AS second_block, a.v AS x, b.v AS y, list_zip(a.v, b.v) AS z, a.n AS n FROM s a JOIN s b ON a.n = b.n AND a.id < b.id
  WHERE len(list_distinct(a.v)) >= 2 AND len(list_distinct(b.v)) >= 2),

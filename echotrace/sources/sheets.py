@@ -14,15 +14,14 @@ from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echotrace.functions.rows import map_rows
 from echotrace.model import CELLS
 
 SUFFIXES = ("csv", "xlsx", "xlsm", "xls")
 ROWS = f"kind string, {CELLS}, message string, severity string"
-_NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
 def canonical_text(value: object) -> str | None:
@@ -172,15 +171,7 @@ def scan(spark: SparkSession, *paths: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
     files = files.where(F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).isin(*SUFFIXES)).dropDuplicates(["path"]).select("path", "content")
 
-    def of(batches):
-        for rows in batches:
-            for path, body in zip(rows["path"], rows["content"]):
-                frame = pd.DataFrame(read_bytes(path, bytes(body)), columns=_NAMES)
-                for c in ("row", "column", "header_row"):
-                    frame[c] = frame[c].astype("Int32")
-                yield frame
-
-    return files.mapInPandas(of, ROWS)
+    return map_rows(files, ROWS, lambda r: read_bytes(r["path"], r["content"]))
 
 
 def cells(rows: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotrace.functions.expr import channel_role, field_key, magnification
+from echotrace.functions.rows import map_rows
 from echotrace.operators.similarity import banded, best_of, byte_keys, with_both
 from echotrace.vision import kernels as K
 from echotrace.vision.pages import array_of
@@ -27,19 +28,14 @@ _COLUMNS = [x.split()[0] for x in REGION.split(", ")]
 def regions(decoded: DataFrame, find: Callable[[np.ndarray], Iterator[dict]]) -> DataFrame:
     """REGION rows of every page; find: BGR pixels to regions. A page that can't be read has none."""
 
-    def of(batches):
-        for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                if r.data is None:
-                    continue
-                pixels = K.to_bgr(array_of(r.data, int(r.height), int(r.width), int(r.channels)))
-                for k, found in enumerate(find(pixels)):
-                    s = found.pop("structure")
-                    out.append({"id": f"{r.source_path}#{r.page}#{k:04d}", "source_path": r.source_path, "page": r.page, "rows": s.shape[0], "columns": s.shape[1], "structure": s.astype(np.float32).ravel().tolist(), "extra": [], "boxes": [], "name": "", **found})
-            yield pd.DataFrame(out, columns=_COLUMNS)
+    def of(r: dict) -> Iterator[dict]:
+        if r["data"] is not None:
+            pixels = K.to_bgr(array_of(r["data"], r["height"], r["width"], r["channels"]))
+            for k, found in enumerate(find(pixels)):
+                s = found.pop("structure")
+                yield {"id": f"{r['source_path']}#{r['page']}#{k:04d}", "source_path": r["source_path"], "page": r["page"], "rows": s.shape[0], "columns": s.shape[1], "structure": s.ravel().tolist(), "extra": [], "boxes": [], "name": "", **found}
 
-    return decoded.mapInPandas(of, REGION)
+    return map_rows(decoded, REGION, of)
 
 
 def _overlap(a: str = "_1", b: str = "_2") -> Column:
@@ -65,20 +61,15 @@ def candidates(found: DataFrame, votes: int = 2, cap: int = 128, same_page: floa
 
 def checked(pairs: DataFrame, check: Callable[[dict], dict | None], schema: str) -> DataFrame:
     """id, id2, page_1, page_2 ... and what check() finds in a pair; it gets the row as a dict with arrays as NumPy."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
-
-    def of(batches):
-        for rows in batches:
-            out = []
-            for r in rows.to_dict("records"):
-                for s in ("_1", "_2"):
-                    r["structure" + s] = np.asarray(r["structure" + s], float).reshape(r["rows" + s], r["columns" + s])
-                    r["extra" + s] = np.asarray(r["extra" + s], float)
-                if (got := check(r)) is not None:
-                    out.append({"first": r["id"], "second": r["id2"], "first_page": f"{r['source_path_1']}#{r['page_1']}", "second_page": f"{r['source_path_2']}#{r['page_2']}", **got})
-            yield pd.DataFrame(out, columns=["first", "second", "first_page", "second_page", *names])
-
-    return pairs.mapInPandas(of, f"first string, second string, first_page string, second_page string, {schema}")
+    def of(r: dict) -> Iterator[dict]:
+        for s in ("_1", "_2"):
+            r["structure" + s] = np.asarray(r["structure" + s], float).reshape(r["rows" + s], r["columns" + s])
+            r["extra" + s] = np.asarray(r["extra" + s], float)
+        if (got := check(r)) is not None:
+            plain = {k: v.item() if isinstance(v, np.generic) else v for k, v in got.items()}
+            yield {"first": r["id"], "second": r["id2"], "first_page": f"{r['source_path_1']}#{r['page_1']}", "second_page": f"{r['source_path_2']}#{r['page_2']}", **plain}
+
+    return map_rows(pairs, f"first string, second string, first_page string, second_page string, {schema}", of)
 
 
 def _best_flip(r: dict, most: int, size: tuple[int, int]) -> tuple[str, float, np.ndarray] | None:
