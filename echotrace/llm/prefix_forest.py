@@ -69,8 +69,9 @@ class Forest:
 
 def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE) -> list[tuple[int, int, float]]:
     """(query, id, cosine) of each query's k best candidates."""
-    norms, out = np.sqrt((vectors * vectors).sum(1)), []
-    for q, found in enumerate(Forest(vectors).candidates(queries, max(4 * k, int(share * len(ids))))):
+    norms, out, forest = np.sqrt((vectors * vectors).sum(1)), [], Forest(vectors)
+    least = forest.trees * (k + 1)  # so many in all trees mean k + 1 different ones in one of them
+    for q, found in enumerate(forest.candidates(queries, max(least, int(share * len(ids))))):
         found = found[ids[found] != query_ids[q]]
         if not len(found):
             continue
