@@ -14,7 +14,7 @@ component has no other; no rows give no rows.
 from __future__ import annotations
 
 import random
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -125,12 +125,84 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(whole, "fp").select("doc_id", hexed, "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows, with all their columns, whose id is the smallest of its group; of rows with one id, one stays. Rows without an id stay."""
+# --- by similarity -------------------------------------------------------------------------------------------------------
+# A similarity of 0.8 between sets of five-word shingles moves about an eighth of all fingerprint bits, far more than masks
+# for every pair of bits could cover. So the fingerprint is wider, and its masks are the pairs of PARTS equal parts: all pairs
+# within PARTS - 2 differing bits collide in some table, and others with a probability that rises with their similarity. What
+# collides is checked exactly.
+
+PARTS, PART_BITS = 21, 12
+WIDE = PARTS * PART_BITS  # 252 bits of 256
+
+
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def _shingles(words: list[bytes], k: int) -> list[bytes]:
+    return list(map(b" ".join, zip(*(words[i:] for i in range(k))))) if len(words) > k else [b" ".join(words)]
+
+
+def wide_fingerprint(words: list[bytes], shingle: int) -> np.ndarray:
+    """WIDE majority bits of two 128-bit XXH3 of each shingle, in parts of PART_BITS bits."""
+    shingles, ones = _shingles(words, shingle), np.zeros(256, np.int64)
+    for at in range(0, len(shingles), BLOCK):
+        some = shingles[at : at + BLOCK]
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, some, repeat(1))) + b"".join(map(xxhash.xxh3_128_digest, some, repeat(2))), np.uint8).reshape(2, -1, 16)
+        for half, d in enumerate(digests):
+            ones[128 * half : 128 * half + 128] += np.unpackbits(d, axis=1).sum(axis=0, dtype=np.int64)
+    bits = (2 * ones > len(shingles))[:WIDE].reshape(PARTS, PART_BITS)
+    return bits @ (1 << np.arange(PART_BITS))
+
+
+def similarity(a: list[bytes], b: list[bytes], shingle: int) -> float:
+    """Jaccard similarity of the sets of shingles; 1 for two texts without words."""
+    x, y = set(_shingles(a, shingle)), set(_shingles(b, shingle))
+    return len(x & y) / len(x | y)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, component_id: documents linked where their sets of shingles are at least so similar, words without regard to A-Z's case.
+
+    Texts of the same words collapse first. A bucket links its members to two of them, the smallest id and the smallest hash, so a bucket
+    of any size lists no more pairs than twice its rows; a group's documents share many buckets with different such members.
+    """
+    source = id_and_text(docs, id_col, text_col)
+
+    def of(batch: pa.RecordBatch) -> dict:
+        words = [_words(x) for x in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), "same": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "parts": [wide_fingerprint(w, shingle).tolist() for w in words]}
+
+    fps = written(per_batch(source, "doc_id long, same binary, parts array<int>", of), "wide")
+    reps = written(fps.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts")).where("rep is not null"), "representatives")
+    key = lambda t, i, j: F.lit(t << 2 * PART_BITS) + F.col("parts")[i].cast("long") * (1 << PART_BITS) + F.col("parts")[j]
+    tables = F.explode(F.array(*(key(t, i, j) for t, (i, j) in enumerate(combinations(range(PARTS), 2)))))
+    rows = reps.select("rep", tables.alias("key"))
+    hashed = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
+    heads = rows.groupBy("key").agg(F.min("rep").alias("low"), F.min(hashed).alias("drawn"), F.count("*").alias("n")).where("n > 1").select("key", F.array("low", "drawn.rep").alias("heads"))
+    pairs = rows.join(heads.hint("merge"), "key").select("rep", F.explode(F.array_distinct("heads")).alias("head")).where("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+    texts = source.join(reps.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    met = written(pairs, "pairs").hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def check(batch: pa.RecordBatch) -> dict:
+        out = []
+        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
+            x, y = _words(x), _words(y)
+            if min(len(x), len(y)) >= least * max(len(x), len(y)) - shingle and similarity(x, y, shingle) >= least:
+                out.append((a, b))
+        return {"a": [x[0] for x in out], "b": [x[1] for x in out]}
+
+    roots = components(per_batch(met.select("a", "b", "text_a", "text_b"), "a long, b long", check))
+    whole = reps.join(roots, reps.rep == roots.node, "left").select("same", F.coalesce("root", "rep").alias("component_id"))
+    return fps.join(whole, "same", "left").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows, with all their columns, whose id is the smallest of its group of similar texts; of rows with one id, one stays. Rows without an id stay."""
     unnamed, docs = docs.where(F.col(id_col).isNull()), docs.where(F.col(id_col).isNotNull())
-    found = near_duplicates(docs, id_col, text_col, shingle)
+    found = similar(docs, id_col, text_col, shingle, least)
     kept = written(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")), "kept")
-    rows = docs.join(kept, docs[id_col].cast("long") == kept["__kept"])
+    rows = docs.join(kept.hint("merge"), docs[id_col].cast("long") == kept["__kept"])  # one plan at every size: the ids grow with the documents
     single, several = rows.where("__n = 1").drop("__kept", "__n").unionByName(unnamed), kept.where("__n > 1")
     if several.isEmpty():
         return single

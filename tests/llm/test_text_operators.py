@@ -206,3 +206,25 @@ def test_blocks_are_merged(spark, low):
     n = check_packing(rows, 1024)
     best = len(set(packing.best_fit(sizes, 1024)[0].tolist()))
     assert n <= best * 1.02 + 1
+
+
+def test_similar_texts_are_linked(spark):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(3000)]
+    base = [list(rng.choice(words, 200)) for _ in range(40)]
+    texts, group = [], []
+    for g, b in enumerate(base):
+        texts.append(" ".join(b))
+        group.append(g)
+        for edits in (1, 2, 3):  # an edit changes five shingles of about two hundred
+            c = list(b)
+            for i in rng.choice(200, edits, replace=False):
+                c[i] = "changed"
+            texts.append(" ".join(c).upper() if edits == 2 else " ".join(c))
+            group.append(g)
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs(spark, texts)).collect()}
+    found = sum(got[i] == 4 * g for i, g in enumerate(group))
+    assert found >= 0.97 * len(texts)
+    assert all(group[c] == group[i] for i, c in got.items())
+    assert {r.component_id for r in simhash.similar(docs(spark, ["", None, " "])).collect()} == {0}
+    assert simhash.similar(docs(spark, texts).limit(0)).count() == 0
