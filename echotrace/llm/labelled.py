@@ -12,7 +12,7 @@ from echotrace.llm.common import id_and_text
 
 #: The sample's bounds: rows of a class, and characters of all its texts. Whole texts only, in the order of a hash of the id.
 CLASS_ROWS = 4000
-SAMPLE_CHARS = 24_000_000
+SAMPLE_CHARS = 16_000_000
 
 
 class Sample(NamedTuple):

@@ -14,7 +14,7 @@ component has no other; no rows give no rows.
 from __future__ import annotations
 
 import random
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -175,8 +175,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     fps = written(per_batch(source, "doc_id long, same binary, parts array<int>", of), "wide")
     reps = written(fps.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts")).where("rep is not null"), "representatives")
-    key = lambda t, i, j: F.lit(t << 2 * PART_BITS) + F.col("parts")[i].cast("long") * (1 << PART_BITS) + F.col("parts")[j]
-    tables = F.explode(F.array(*(key(t, i, j) for t, (i, j) in enumerate(combinations(range(PARTS), 2)))))
+    last = F.lit(PARTS - 1)
+    key = lambda i, j: F.lit(1 << 2 * PART_BITS) * (PARTS * i + j) + F.col("parts")[i].cast("long") * (1 << PART_BITS) + F.col("parts")[j]
+    tables = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: key(i, j)))))
     rows = reps.select("rep", tables.alias("key"))
     hashed = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
     heads = rows.groupBy("key").agg(F.min("rep").alias("low"), F.min(hashed).alias("drawn"), F.count("*").alias("n")).where("n > 1").select("key", F.array("low", "drawn.rep").alias("heads"))
