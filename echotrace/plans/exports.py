@@ -66,3 +66,33 @@ def html_report(findings: DataFrame, order: list) -> str:
     cell = lambda x: f"<td>{_html.escape(str(x))}</td>"
     body = "".join(f'<tr data-risk="{r.risk}">' + "".join(cell(x) for x in r) + "</tr>" for r in rows)
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Findings</title></head><body><p>{_html.escape(str(counts))}</p><table>{body}</table></body></html>"
+
+
+def write_xlsx(tables: dict[str, DataFrame], path: str, most: int = 1_048_575) -> None:
+    """A workbook with a sheet for each table, written in the driver row by row; a sheet ends at the format's last row."""
+    import zipfile
+    from xml.sax.saxutils import escape, quoteattr
+
+    ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def cell(x: object) -> str:
+        if x is None:
+            return "<c/>"
+        if isinstance(x, (int, float)) and not isinstance(x, bool):
+            return f"<c><v>{x}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(x)[:32_000])}</t></is></c>'
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        names = list(tables)
+        kinds = "".join(f'<Override PartName="/xl/worksheets/s{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(len(names)))
+        book.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        book.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name={quoteattr(n[:31])} sheetId="{i + 1}" r:id="r{i}"/>' for i, n in enumerate(names)) + "</sheets></workbook>")
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/s{i}.xml"/>' for i in range(len(names))) + "</Relationships>")
+        for i, name in enumerate(names):
+            df = tables[name]
+            with book.open(f"xl/worksheets/s{i}.xml", "w") as out:
+                out.write(f'<worksheet xmlns="{ns}"><sheetData><row>{"".join(map(cell, df.columns))}</row>'.encode())
+                for r in df.limit(most).toLocalIterator():
+                    out.write(f"<row>{''.join(map(cell, r))}</row>".encode())
+                out.write(b"</sheetData></worksheet>")

@@ -33,3 +33,12 @@ def marked(findings: DataFrame) -> DataFrame:
 
 def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("review_status").agg(F.count("*").alias("n"), F.count_if(F.col("risk") == "high").alias("high"))
+
+
+def only(findings: DataFrame, mode: str = "all", tier: str | None = None, status: str | None = None) -> DataFrame:
+    """Findings of spreadsheets (data), pictures (image) or both (all), of a tier and a review status."""
+    if mode not in ("all", "data", "image"):
+        raise ValueError(f"unknown mode {mode}")
+    out = findings if mode == "all" else findings.where(F.col("rule_id").startswith("excel." if mode == "data" else "image."))
+    out = out if tier is None else out.where(F.col("attention_tier") == tier)
+    return out if status is None else out.where(F.col("review_status") == status)

@@ -12,6 +12,7 @@ from echotrace.model import Settings
 from echotrace.operators import regions, series, similarity, values
 from echotrace.plans import evaluate, exports, quality, review
 from echotrace.sources.tables import melt
+from echotrace.vision import pages as vision_pages, scan as vision_scan
 
 SETTINGS = Settings()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -465,3 +466,25 @@ def numeric_evidence(spark: SparkSession, sf: str) -> DataFrame:
     found = _t(spark, sf, "conversations").where("conv_id is not null").groupBy(F.col("conv_id").alias("finding_id")).agg(F.array_sort(F.collect_list(place)).alias("l"))
     found = found.select("finding_id", F.lit("excel.value.exact").alias("rule_id"), F.transform("l", lambda x: F.struct(x.source_path.alias("source_path"), x.sheet.alias("sheet"), x.coordinate.alias("coordinate"), x.hidden_sheet.alias("hidden_sheet"))).alias("locations"))
     return exports.numeric_evidence(found).select("finding_id", F.col("position").cast("long").alias("position"), "sheet")
+
+
+def _pictures(spark: SparkSession, sf: str) -> DataFrame:
+    return vision_scan.pictures_of(_t(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+@query()
+def image_page_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings drawn as pictures: their digests and hashes under eight transforms."""
+    found = vision_pages.page_features(_pictures(spark, sf))
+    return found.select("source_path", "width", "height", "pixel_sha256", F.round("standard_deviation", 4).alias("standard_deviation"), F.inline("fingerprints"))
+
+
+@query()
+def image_pixel_exact(spark: SparkSession, sf: str) -> DataFrame:
+    found = similarity.equal_pixels(vision_pages.page_features(_pictures(spark, sf)).where("error is null"))
+    return found.select("pixel_sha256", "n", "paths", F.col("first_page.source_path").alias("first_path"))
+
+
+@query()
+def image_perceptual(spark: SparkSession, sf: str) -> DataFrame:
+    return vision_pages.perceptual_pairs(vision_pages.page_features(_pictures(spark, sf)))
