@@ -176,7 +176,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     fps = written(per_batch(source, "doc_id long, same binary, parts array<int>", of), "wide")
     reps = written(fps.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts")).where("rep is not null"), "representatives")
     last = F.lit(PARTS - 1)
-    key = lambda i, j: F.lit(1 << 2 * PART_BITS) * (PARTS * i + j) + F.col("parts")[i].cast("long") * (1 << PART_BITS) + F.col("parts")[j]
+    key = lambda i, j: F.lit(1 << 2 * PART_BITS).cast("long") * (PARTS * i + j) + F.col("parts")[i].cast("long") * (1 << PART_BITS) + F.col("parts")[j]
     tables = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: key(i, j)))))
     rows = reps.select("rep", tables.alias("key"))
     hashed = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
