@@ -75,9 +75,8 @@ def approximate_clusters(cells: DataFrame, settings: Settings = Settings()) -> D
     if settings.custom_relative > 0 and settings.custom_relative not in {t for t, _ in bands}:
         bands.append((settings.custom_relative, f"custom {settings.custom_relative_tolerance_percent:g}%"))
     each = signed.select("sign", "m", F.explode(F.array(*(F.struct(F.lit(t).alias("tolerance"), F.lit(x).alias("band")) for t, x in bands))).alias("b")).select("sign", "m", "b.tolerance", "b.band")
-    # neighbours: within a power of two by a window, across powers by their ends, which are few
-    place = F.floor(F.log2("m")).cast("int")
-    inner = each.withColumn("place", place)
+    # neighbours: within a range of like size by a window, across ranges by their ends, which are few
+    inner = each.withColumn("place", _range_of(F.col("m"), _cuts(signed, "m")))
     ends = inner.groupBy("sign", "band", "place").agg(F.min("m").alias("first"), F.max("m").alias("top"))
     before = ends.withColumn("top_before", F.lag("top").over(Window.partitionBy("sign", "band").orderBy("place"))).select("sign", "band", "place", "top_before")
     w = Window.partitionBy("sign", "band", "place").orderBy("m")
@@ -107,6 +106,18 @@ def approximate_clusters(cells: DataFrame, settings: Settings = Settings()) -> D
     return found.unionByName(near_zero.select(F.lit("absolute").alias("band"), F.lit(0).alias("sign"), "anchor", "last", "distinct_values"))
 
 
+def _cuts(rows: DataFrame, column: str) -> list[float]:
+    """Ascending bounds that deal a column into as many ranges of like size as there are shuffle partitions."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.agg(F.percentile_approx(column, F.array(*(F.lit(i / n) for i in range(1, n + 1))), 10_000).alias("q")).first().q
+    return sorted(set(found or []))
+
+
+def _range_of(value: Column, cuts: list[float]) -> Column:
+    edges = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    return F.size(F.filter(edges, lambda e: e < value))  # few edges: one for each partition
+
+
 def _nearest(wanted: DataFrame, values: DataFrame) -> DataFrame:
     """Each wanted row (w, other columns) with the value nearest to w: v. Ties go to the smaller value.
 
@@ -114,10 +125,8 @@ def _nearest(wanted: DataFrame, values: DataFrame) -> DataFrame:
     last value before it and the first behind it. A merge within the range finds both neighbours.
     """
     spark = values.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(values.agg(F.percentile_approx("v", F.array(*(F.lit(i / n) for i in range(1, n + 1))), 10_000).alias("q")).first().q or []))
-    edges = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    part = lambda c: F.size(F.filter(edges, lambda e: e < c))  # noqa: E731  few edges: one for each partition
+    cuts = _cuts(values, "v")
+    part = lambda c: _range_of(c, cuts)
     held = values.select(F.col("v"), part(F.col("v")).alias("part"))
     ends = held.groupBy("part").agg(F.min("v").alias("first"), F.max("v").alias("last"))
     parts = spark.range(len(cuts) + 1).select(F.col("id").cast("int").alias("part")).join(ends, "part", "left")
