@@ -99,6 +99,8 @@ def approximate_clusters(cells: DataFrame, settings: Settings = Settings()) -> D
             i = j
         return pd.DataFrame(out, columns=["band", "sign", "anchor", "last", "distinct_values"])
 
+    several = F.count("*").over(Window.partitionBy("sign", "band", "island"))  # dealt like the groups below; a lone value is no cluster
+    islands = islands.withColumn("n", several).where("n >= 2")
     found = islands.groupBy("sign", "band", "island").applyInPandas(walk, "band string, sign int, anchor double, last double, distinct_values long")
     near_zero = numbers.where(F.abs("v") <= settings.absolute_tolerance).agg(F.min("v").alias("anchor"), F.max("v").alias("last"), F.count("*").alias("distinct_values")).where("distinct_values >= 2 and last <= anchor + %r" % settings.absolute_tolerance)
     strict = F.row_number().over(Window.partitionBy("sign", "anchor", "last", "distinct_values").orderBy(F.array_position(F.array(*(F.lit(x) for _, x in bands)), F.col("band"))))
