@@ -106,3 +106,13 @@ def test_tissue(spark):
 
     found = S.pathology(decoded(spark, {"x_20x.png": tissue(1), "y_20x.png": np.ascontiguousarray(tissue(1)[:, ::-1]), "z_20x.png": tissue(7)})).collect()
     assert [(r.first_page, r.second_page, r.rule_id) for r in found] == [("x_20x.png#1", "y_20x.png#1", "image.pathology.local_reuse")]
+
+
+def test_thumbnails_decode(spark, tmp_path):
+    a = K.to_bgr(texture(200, 300))
+    (tmp_path / "a.png").write_bytes(K.png(a))
+    (tmp_path / "t.png").write_bytes(K.thumbnail(a, (50, 40, 100, 80), (64, 64)))
+    (tmp_path / "bad.png").write_text("no picture")
+    found = {r.source_path.rsplit("/", 1)[-1]: r for r in pages.images(spark, str(tmp_path)).collect()}
+    assert bytes(found["a.png"].data) == a.tobytes() and found["bad.png"].data is None
+    assert max(found["t.png"].width, found["t.png"].height) == 64
