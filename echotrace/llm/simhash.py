@@ -172,8 +172,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     source = id_and_text(docs, id_col, text_col)
 
     def of(batch: pa.RecordBatch) -> dict:
-        words = [_words(x) for x in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "same": [xxhash.xxh3_128_digest(b" ".join(w)) for w in words], "parts": [wide_fingerprint(w, shingle).tolist() for w in words]}
+        same, parts = [], []
+        for text in batch.column("text"):  # one text's words at a time
+            words = _words(text.as_py())
+            same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            parts.append(wide_fingerprint(words, shingle))
+        return {"doc_id": batch.column("doc_id"), "same": same, "parts": parts}
 
     fps = written(per_batch(source, "doc_id long, same binary, parts array<int>", of), "wide")
     reps = written(fps.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts")).where("rep is not null"), "representatives")
@@ -191,10 +195,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     def check(batch: pa.RecordBatch) -> dict:
         out = []
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-            x, y = _words(x), _words(y)
-            if similarity(x, y, shingle) >= least:
-                out.append((a, b))
+        for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b"))):
+            if similarity(_words(x.as_py()), _words(y.as_py()), shingle) >= least:
+                out.append((a.as_py(), b.as_py()))
         return {"a": [x[0] for x in out], "b": [x[1] for x in out]}
 
     roots = components(per_batch(met.select("a", "b", "text_a", "text_b"), "a long, b long", check))
