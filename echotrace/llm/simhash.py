@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import id_and_text, per_batch, table, written
+from echotrace.llm.common import id_and_text, partitions, per_batch, table, written
 from echotrace.llm.components import components
 
 RADIUS = 2
@@ -184,7 +184,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     last = F.lit(PARTS - 1)
     key = lambda i, j: F.lit(1 << 2 * PART_BITS).cast("long") * (PARTS * i + j) + F.col("parts")[i].cast("long") * (1 << PART_BITS) + F.col("parts")[j]
     tables = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: key(i, j)))))
-    rows = reps.select("rep", tables.alias("key"))
+    # each row becomes 210: spread over more tasks, so that what a task combines before the shuffle stays small
+    rows = reps.repartition(4 * partitions(docs.sparkSession)).select("rep", tables.alias("key"))
     heads = rows.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     pairs = written(rows.join(heads.hint("merge"), "key").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     side = lambda i: reps.select(F.col("rep").alias(i), F.col("parts").alias(f"parts_{i}")).hint("merge")
