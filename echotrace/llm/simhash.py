@@ -14,6 +14,7 @@ component has no other; no rows give no rows.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -135,6 +136,10 @@ PARTS, PART_BITS = 21, 12
 WIDE = PARTS * PART_BITS  # 252 bits of 256
 #: Pairs with more differing bits are not read again. A similarity of 0.8 has 38 on average, with a deviation of 6.
 FARTHEST = 64
+#: Larger buckets are dealt into blocks of about so many members, and each two blocks meet in a cell of their own.
+CELL = 512
+#: Pairs whose fingerprints are held at a time.
+PAIRS = 1 << 14
 
 
 def _words(text: str) -> list[bytes]:
@@ -163,11 +168,73 @@ def similarity(a: list[bytes], b: list[bytes], shingle: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def _meetings(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """List, and the positions of two of its members, for all pairs in lists of such lengths that lie end to end; PAIRS at a time, or one list's."""
+    starts = np.cumsum(lengths) - lengths
+    for m in np.unique(lengths[lengths > 1]).tolist():
+        x, y = np.triu_indices(m, 1)
+        lists = np.flatnonzero(lengths == m)
+        for some in np.array_split(lists, -(-len(lists) * len(x) // PAIRS)) if len(x) < PAIRS else lists[:, None]:
+            if len(some):
+                of, first, second = np.repeat(some, len(x)), (starts[some][:, None] + x).ravel(), (starts[some][:, None] + y).ravel()
+                for at in range(0, len(of), PAIRS):
+                    yield of[at : at + PAIRS], first[at : at + PAIRS], second[at : at + PAIRS]
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of parts: which may be similar."""
+    return np.bitwise_count(a ^ b).sum(1) <= FARTHEST
+
+
+def _unlinked(batch: pa.RecordBatch) -> dict:
+    """Pairs of a cell's members that have different roots and may be similar, each in the first of the buckets that both are in."""
+    cells, out = batch.column("members"), []
+    members = cells.flatten()
+    rep, root, block = (members.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "root", "block"))
+    parts = members.field("parts").flatten().to_numpy().reshape(-1, PARTS)
+    table, crossed = batch.column("key").to_numpy() >> 2 * PART_BITS, batch.column("i").to_numpy() != batch.column("j").to_numpy()
+    for of, x, y in _meetings(cells.value_lengths().to_numpy()):
+        open_ = (root[x] != root[y]) & ~(crossed[of] & (block[x] == block[y]))
+        of, x, y = of[open_], x[open_], y[open_]
+        equal, each = parts[x] == parts[y], np.arange(len(x))
+        i = equal.argmax(1)
+        equal[each, i] = False
+        first = PARTS * i + equal.argmax(1) == table[of]
+        x, y = x[first], y[first]
+        kept = _near(parts[x], parts[y])
+        out.append((rep[x[kept]], rep[y[kept]]))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)]) for i in (0, 1))
+    return {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+
+
+def _cells(met: DataFrame, sides: DataFrame, size: int) -> DataFrame:
+    """Buckets (key, rep, n) to key, i, j, members: all members of a bucket, or of two of its blocks."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    placed = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), "blocks").cast("int"))
+    cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
+    dealt = placed.select("key", "rep", "block", cells.alias("at")).join(sides.hint("merge"), "rep")
+    return dealt.groupBy("key", F.col("at.i").alias("i"), F.col("at.j").alias("j")).agg(F.collect_list(F.struct("rep", "root", "block", "parts")).alias("members"))
+
+
+def _checked(near: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs a, b whose texts are at least so similar."""
+    met = near.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def check(batch: pa.RecordBatch) -> dict:
+        out = []
+        for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b"))):
+            if similarity(_words(x.as_py()), _words(y.as_py()), shingle) >= least:
+                out.append((a.as_py(), b.as_py()))
+        return {"a": [x[0] for x in out], "b": [x[1] for x in out]}
+
+    return written(per_batch(met.select("a", "b", "text_a", "text_b"), "a long, b long", check), "similar")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, cell: int = CELL) -> DataFrame:
     """doc_id, component_id: documents linked where their sets of shingles are at least so similar, words without regard to A-Z's case.
 
-    Texts of the same words collapse first. A bucket links its members to the one with the smallest id, so a bucket of any size lists
-    fewer pairs than rows; a group's documents share many buckets, with different such members.
+    Texts of the same words collapse first. A bucket's members meet the one with the smallest id; then all those that such links have
+    not connected meet one another, so a group of near copies lists few pairs and yet no two that share a bucket are left uncompared.
     """
     source = id_and_text(docs, id_col, text_col)
 
@@ -186,22 +253,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     tables = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: key(i, j)))))
     # each row becomes 210: spread over more tasks, so that what a task combines before the shuffle stays small
     rows = reps.repartition(4 * partitions(docs.sparkSession)).select("rep", tables.alias("key"))
-    heads = rows.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    pairs = written(rows.join(heads.hint("merge"), "key").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    heads = rows.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
+    buckets = written(rows.join(heads.hint("merge"), "key").select("key", "rep", "head", "n"), "buckets")
+    pairs = buckets.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     side = lambda i: reps.select(F.col("rep").alias(i), F.col("parts").alias(f"parts_{i}")).hint("merge")
     apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     near = written(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= FARTHEST).select("a", "b"), "near")
     texts = source.join(reps.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    met = near.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def check(batch: pa.RecordBatch) -> dict:
-        out = []
-        for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "text_a", "text_b"))):
-            if similarity(_words(x.as_py()), _words(y.as_py()), shingle) >= least:
-                out.append((a.as_py(), b.as_py()))
-        return {"a": [x[0] for x in out], "b": [x[1] for x in out]}
-
-    roots = components(per_batch(met.select("a", "b", "text_a", "text_b"), "a long, b long", check))
+    by_head = _checked(near, texts, shingle, least)
+    known = components(by_head)
+    sides = reps.join(known, reps.rep == known.node, "left").select("rep", "parts", F.coalesce("root", "rep").alias("root"))
+    left = written(per_batch(_cells(buckets, sides, cell), "a long, b long", _unlinked), "unlinked")
+    roots = components(by_head.unionByName(_checked(left, texts, shingle, least)))
     whole = reps.join(roots, reps.rep == roots.node, "left").select("same", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(whole, "same", "left").select("doc_id", "component_id")
 

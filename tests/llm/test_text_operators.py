@@ -228,3 +228,38 @@ def test_similar_texts_are_linked(spark):
     assert all(group[c] == group[i] for i, c in got.items())
     assert {r.component_id for r in simhash.similar(docs(spark, ["", None, " "])).collect()} == {0}
     assert simhash.similar(docs(spark, texts).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cell", [8, 512])
+def test_members_of_a_bucket_meet_one_another(spark, cell):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(3000)]
+    base, texts = list(rng.choice(words, 300)), []
+
+    def changed(text, n):
+        text = list(text)
+        for i in rng.choice(300, n, replace=False):
+            text[i] = f"new{rng.integers(1 << 40)}"
+        return text
+
+    for _ in range(200):  # alike to one another by about 0.7, each with a copy that is alike by about 0.9
+        one = changed(base, 5)
+        texts += [one, changed(one, 3)]
+    texts = [" ".join(t) for t in texts]
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    parts = np.array([simhash.wide_fingerprint(t.encode().split(), 5) for t in texts])
+    root, found = list(range(len(texts))), 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (parts[i] == parts[j]).sum() >= 2:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+                found += i == j + 1
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs(spark, texts), cell=cell).collect()}
+    assert found >= 190 and got == {i: find(i) for i in range(len(texts))}
