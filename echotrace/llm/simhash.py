@@ -134,8 +134,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 PARTS, PART_BITS = 21, 12
 WIDE = PARTS * PART_BITS  # 252 bits of 256
-#: Pairs with more differing bits are not read again. A similarity of 0.8 has 38 on average, with a deviation of 6.
-FARTHEST = 64
+#: Shingles are counted by a byte of their hash, up to 255 each. Shingles of one set alone are at least as many as the counts differ
+#: by, so what is over the bound has less than the least similarity for sure and is not read again.
+COUNTS = 256
 #: Larger buckets are dealt into blocks of about so many members, and each two blocks meet in a cell of their own.
 CELL = 512
 #: Pairs whose fingerprints are held at a time.
@@ -150,16 +151,21 @@ def _shingles(words: list[bytes], k: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(k))))) if len(words) > k else [b" ".join(words)]
 
 
-def wide_fingerprint(words: list[bytes], shingle: int) -> np.ndarray:
-    """WIDE majority bits of two 128-bit XXH3 of each shingle, in parts of PART_BITS bits."""
-    shingles, ones = _shingles(words, shingle), np.zeros(256, np.int64)
+def _sketch(words: list[bytes], shingle: int) -> tuple[np.ndarray, int, bytes]:
+    """WIDE majority bits of two 128-bit XXH3 of each distinct shingle, in parts of PART_BITS bits; the distinct shingles; their COUNTS."""
+    shingles, ones, counts = list(set(_shingles(words, shingle))), np.zeros(256, np.int64), np.zeros(COUNTS, np.int64)
     for at in range(0, len(shingles), BLOCK):
         some = shingles[at : at + BLOCK]
         digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, some, repeat(1))) + b"".join(map(xxhash.xxh3_128_digest, some, repeat(2))), np.uint8).reshape(2, -1, 16)
         for half, d in enumerate(digests):
             ones[128 * half : 128 * half + 128] += np.unpackbits(d, axis=1).sum(axis=0, dtype=np.int64)
+        counts += np.bincount(digests[0, :, 0], minlength=COUNTS)
     bits = (2 * ones > len(shingles))[:WIDE].reshape(PARTS, PART_BITS)
-    return bits @ (1 << np.arange(PART_BITS))
+    return bits @ (1 << np.arange(PART_BITS)), len(shingles), np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def wide_fingerprint(words: list[bytes], shingle: int) -> np.ndarray:
+    return _sketch(words, shingle)[0]
 
 
 def similarity(a: list[bytes], b: list[bytes], shingle: int) -> float:
@@ -181,16 +187,23 @@ def _meetings(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.
                     yield of[at : at + PAIRS], first[at : at + PAIRS], second[at : at + PAIRS]
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For rows of parts: which may be similar."""
-    return np.bitwise_count(a ^ b).sum(1) <= FARTHEST
+def _near(shingles_a: np.ndarray, counts_a: np.ndarray, shingles_b: np.ndarray, counts_b: np.ndarray, least: float) -> np.ndarray:
+    """Which may be similar: False only where the counts show that they are not."""
+    apart = np.maximum(np.abs(counts_a.astype(np.int16) - counts_b).sum(1, dtype=np.int64), np.abs(shingles_a - shingles_b))
+    return apart <= (shingles_a + shingles_b) * ((1 - least) / (1 + least)) + 1e-6
 
 
-def _unlinked(batch: pa.RecordBatch) -> dict:
+def _bytes(column: pa.Array) -> np.ndarray:
+    """A column of COUNTS as rows of an array."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COUNTS)
+
+
+def _unlinked(batch: pa.RecordBatch, least: float) -> dict:
     """Pairs of a cell's members that have different roots and may be similar, each in the first of the buckets that both are in."""
     cells, out = batch.column("members"), []
     members = cells.flatten()
-    rep, root, block = (members.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "root", "block"))
+    rep, root, block, shingles = (members.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "root", "block", "shingles"))
+    counts = _bytes(members.field("counts"))
     parts = members.field("parts").flatten().to_numpy().reshape(-1, PARTS)
     table, crossed = batch.column("key").to_numpy() >> 2 * PART_BITS, batch.column("i").to_numpy() != batch.column("j").to_numpy()
     for of, x, y in _meetings(cells.value_lengths().to_numpy()):
@@ -201,7 +214,7 @@ def _unlinked(batch: pa.RecordBatch) -> dict:
         equal[each, i] = False
         first = PARTS * i + equal.argmax(1) == table[of]
         x, y = x[first], y[first]
-        kept = _near(parts[x], parts[y])
+        kept = _near(shingles[x], counts[x], shingles[y], counts[y], least)
         out.append((rep[x[kept]], rep[y[kept]]))
     a, b = (np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)]) for i in (0, 1))
     return {"a": np.minimum(a, b), "b": np.maximum(a, b)}
@@ -213,7 +226,7 @@ def _cells(met: DataFrame, sides: DataFrame, size: int) -> DataFrame:
     placed = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), "blocks").cast("int"))
     cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
     dealt = placed.select("key", "rep", "block", cells.alias("at")).join(sides.hint("merge"), "rep")
-    return dealt.groupBy("key", F.col("at.i").alias("i"), F.col("at.j").alias("j")).agg(F.collect_list(F.struct("rep", "root", "block", "parts")).alias("members"))
+    return dealt.groupBy("key", F.col("at.i").alias("i"), F.col("at.j").alias("j")).agg(F.collect_list(F.struct("rep", "root", "block", "parts", "shingles", "counts")).alias("members"))
 
 
 def _checked(near: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -239,15 +252,21 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     source = id_and_text(docs, id_col, text_col)
 
     def of(batch: pa.RecordBatch) -> dict:
-        same, parts = [], []
+        same, parts, shingles, counts = [], [], [], []
         for text in batch.column("text"):  # one text's words at a time
             words = _words(text.as_py())
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            parts.append(wide_fingerprint(words, shingle))
-        return {"doc_id": batch.column("doc_id"), "same": same, "parts": parts}
+            for column, x in zip((parts, shingles, counts), _sketch(words, shingle)):
+                column.append(x)
+        return {"doc_id": batch.column("doc_id"), "same": same, "parts": parts, "shingles": shingles, "counts": counts}
+
+    def near_head(batch: pa.RecordBatch) -> dict:
+        shingles, counts = ([f(batch.column(c + i)) for i in "ab"] for c, f in (("shingles_", lambda x: x.to_numpy()), ("counts_", _bytes)))
+        kept = pa.array(_near(shingles[0], counts[0], shingles[1], counts[1], least))
+        return {"a": batch.column("a").filter(kept), "b": batch.column("b").filter(kept)}
 
-    fps = written(per_batch(source, "doc_id long, same binary, parts array<int>", of), "wide")
-    reps = written(fps.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts")).where("rep is not null"), "representatives")
+    fps = written(per_batch(source, "doc_id long, same binary, parts array<int>, shingles long, counts binary", of), "wide")
+    reps = written(fps.groupBy("same").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("parts", "shingles", "counts"))).where("rep is not null"), "representatives")
     last = F.lit(PARTS - 1)
     key = lambda i, j: F.lit(1 << 2 * PART_BITS).cast("long") * (PARTS * i + j) + F.col("parts")[i].cast("long") * (1 << PART_BITS) + F.col("parts")[j]
     tables = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: key(i, j)))))
@@ -256,14 +275,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     heads = rows.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
     buckets = written(rows.join(heads.hint("merge"), "key").select("key", "rep", "head", "n"), "buckets")
     pairs = buckets.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    side = lambda i: reps.select(F.col("rep").alias(i), F.col("parts").alias(f"parts_{i}")).hint("merge")
-    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = written(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= FARTHEST).select("a", "b"), "near")
+    side = lambda i: reps.select(F.col("rep").alias(i), F.col("shingles").alias(f"shingles_{i}"), F.col("counts").alias(f"counts_{i}")).hint("merge")
+    near = written(per_batch(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "counts_a", "shingles_b", "counts_b"), "a long, b long", near_head), "near")
     texts = source.join(reps.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     by_head = _checked(near, texts, shingle, least)
     known = components(by_head)
-    sides = reps.join(known, reps.rep == known.node, "left").select("rep", "parts", F.coalesce("root", "rep").alias("root"))
-    left = written(per_batch(_cells(buckets, sides, cell), "a long, b long", _unlinked), "unlinked")
+    sides = reps.join(known, reps.rep == known.node, "left").select("rep", "parts", "shingles", "counts", F.coalesce("root", "rep").alias("root"))
+    left = written(per_batch(_cells(buckets, sides, cell), "a long, b long", lambda batch: _unlinked(batch, least)), "unlinked")
     roots = components(by_head.unionByName(_checked(left, texts, shingle, least)))
     whole = reps.join(roots, reps.rep == roots.node, "left").select("same", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(whole, "same", "left").select("doc_id", "component_id")

@@ -263,3 +263,21 @@ def test_members_of_a_bucket_meet_one_another(spark, cell):
                 found += i == j + 1
     got = {r.doc_id: r.component_id for r in simhash.similar(docs(spark, texts), cell=cell).collect()}
     assert found >= 190 and got == {i: find(i) for i in range(len(texts))}
+
+
+def test_repeated_lines_count_once(spark):
+    rng = np.random.default_rng(12)
+    body, line = " ".join(rng.choice([f"w{i}" for i in range(3000)], 300)), " one line of nine words that is repeated here"
+    texts = [body + line * n for n in (1, 10, 20, 100)]
+    assert {r.component_id for r in simhash.similar(docs(spark, texts)).collect()} == {0}
+
+
+def test_counts_drop_no_similar_pair():
+    rng = np.random.default_rng(13)
+    for n in (1, 4, 9, 40, 300, 80_000):
+        for share in (0.0, 0.05, 0.1, 0.15, 0.2, 0.3):
+            words = [b"%d" % x for x in rng.integers(0, 1 << 40, n + 4)]
+            other = words[: len(words) - int(share * n)] + [b"%d" % x for x in rng.integers(0, 1 << 40, int(rng.integers(0, 2)) * int(share * n / 2))]
+            (_, m, x), (_, k, y) = (simhash._sketch(w, 5) for w in (words, other))
+            near = simhash._near(np.array([m]), np.frombuffer(x, np.uint8)[None], np.array([k]), np.frombuffer(y, np.uint8)[None], 0.8)
+            assert near[0] or simhash.similarity(words, other, 5) < 0.8
