@@ -25,7 +25,7 @@ from echotrace.llm.labelled import Sample, remainder, sample
 WINDOW = 2048
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
-#: Windows of a class that train its dictionary at most, and from one text.
+#: Windows of a class that train its dictionary at most, and from one text; a longer text gives windows from all over its length.
 TRAINED, TRAINED_OF_TEXT = 6000, 12
 THRESHOLD = 0.3
 
@@ -43,8 +43,13 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
     return [text[i : i + size] for i in range(0, len(text), size)] or [b""]
 
 
+def _spread(parts: list[bytes], most: int = TRAINED_OF_TEXT) -> list[bytes]:
+    """So many of the windows at most, at like distances from the first to the last."""
+    return parts if len(parts) <= most else [parts[i * (len(parts) - 1) // (most - 1)] for i in range(most)]
+
+
 def _dictionary(texts: list[bytes]) -> bytes:
-    parts = [x for t in texts for x in windows(t)[:TRAINED_OF_TEXT] if x][:TRAINED]
+    parts = [x for t in texts for x in _spread(windows(t)) if x][:TRAINED]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
     except (zstandard.ZstdError, ValueError, MemoryError):  # too few windows to train from: they are the dictionary themselves

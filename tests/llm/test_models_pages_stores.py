@@ -33,6 +33,15 @@ def test_quality_on_unseen_rows():
     assert quality.scores(["a"], quality.fit(Sample([], np.zeros(0), np.zeros(0), 0.5)))[0] == 0.5
 
 
+def test_quality_is_learnt_from_all_of_a_long_text():
+    mark = " ".join(WORDS[:150]).upper()
+    texts = [f"{' '.join(str(x) for x in rng.integers(0, 1 << 30, 3000))} {" ".join([mark] * 6)}" for _ in range(40)]
+    assert all(len(t) > quality.WINDOW * quality.TRAINED_OF_TEXT + 6 * len(mark) for t in texts)
+    held = quality._dictionary([t.encode() for t in texts])
+    assert sum(w.encode() in held for w in mark.split()) > 100
+    assert quality._spread([b"%d" % i for i in range(100)], 12)[::11] == [b"0", b"99"]
+
+
 def test_toxicity_on_unseen_rows():
     rude = ["scumble", "idiota", "scumling", "trashy"]
     y = rng.random(1200) < 0.25
