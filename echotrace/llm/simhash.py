@@ -243,13 +243,13 @@ def _checked(near: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
     return written(per_batch(met.select("a", "b", "text_a", "text_b"), "a long, b long", check), "similar")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, cell: int = CELL) -> DataFrame:
-    """doc_id, component_id: documents linked where their sets of shingles are at least so similar, words without regard to A-Z's case.
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, cell: int) -> DataFrame:
+    """doc_id, raw (MD5 of the text), root: one number for each group of similar texts.
 
-    Texts of the same words collapse first. A bucket's members meet the one with the smallest id; then all those that such links have
+    Texts of the same words collapse first, under a number of their own. A bucket's members meet the one with the smallest id; then all those that such links have
     not connected meet one another, so a group of near copies lists few pairs and yet no two that share a bucket are left uncompared.
     """
-    source = id_and_text(docs, id_col, text_col)
+    source = id_and_text(docs, id_col, text_col).withColumn("raw", F.md5("text"))
 
     def of(batch: pa.RecordBatch) -> dict:
         same, parts, shingles, counts = [], [], [], []
@@ -258,15 +258,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
             for column, x in zip((parts, shingles, counts), _sketch(words, shingle)):
                 column.append(x)
-        return {"doc_id": batch.column("doc_id"), "same": same, "parts": parts, "shingles": shingles, "counts": counts}
+        return {"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "same": same, "parts": parts, "shingles": shingles, "counts": counts}
 
     def near_head(batch: pa.RecordBatch) -> dict:
         shingles, counts = ([f(batch.column(c + i)) for i in "ab"] for c, f in (("shingles_", lambda x: x.to_numpy()), ("counts_", _bytes)))
         kept = pa.array(_near(shingles[0], counts[0], shingles[1], counts[1], least))
         return {"a": batch.column("a").filter(kept), "b": batch.column("b").filter(kept)}
 
-    fps = written(per_batch(source, "doc_id long, same binary, parts array<int>, shingles long, counts binary", of), "wide")
-    reps = written(fps.groupBy("same").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("parts", "shingles", "counts"))).where("rep is not null"), "representatives")
+    fps = written(per_batch(source, "doc_id long, raw string, same binary, parts array<int>, shingles long, counts binary", of), "wide")
+    one = fps.groupBy("same").agg(F.min(F.struct("raw", "doc_id")).alias("row"), *(F.first(c).alias(c) for c in ("parts", "shingles", "counts")))
+    reps = written(one.select(F.monotonically_increasing_id().alias("rep"), "same", "row.*", "parts", "shingles", "counts"), "representatives")
     last = F.lit(PARTS - 1)
     key = lambda i, j: F.lit(1 << 2 * PART_BITS).cast("long") * (PARTS * i + j) + F.col("parts")[i].cast("long") * (1 << PART_BITS) + F.col("parts")[j]
     tables = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: key(i, j)))))
@@ -277,27 +278,40 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     pairs = buckets.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     side = lambda i: reps.select(F.col("rep").alias(i), F.col("shingles").alias(f"shingles_{i}"), F.col("counts").alias(f"counts_{i}")).hint("merge")
     near = written(per_batch(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "counts_a", "shingles_b", "counts_b"), "a long, b long", near_head), "near")
-    texts = source.join(reps.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    wanted = reps.select("rep", F.col("raw").alias("raw_"), F.col("doc_id").alias("id_")).hint("merge")
+    texts = source.join(wanted, (F.col("raw") == F.col("raw_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"])
     by_head = _checked(near, texts, shingle, least)
     known = components(by_head)
     sides = reps.join(known, reps.rep == known.node, "left").select("rep", "parts", "shingles", "counts", F.coalesce("root", "rep").alias("root"))
     left = written(per_batch(_cells(buckets, sides, cell), "a long, b long", lambda batch: _unlinked(batch, least)), "unlinked")
     roots = components(by_head.unionByName(_checked(left, texts, shingle, least)))
-    whole = reps.join(roots, reps.rep == roots.node, "left").select("same", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(whole, "same", "left").select("doc_id", "component_id")
+    whole = reps.join(roots, reps.rep == roots.node, "left").select("same", F.coalesce("root", "rep").alias("root"))
+    return written(fps.join(whole, "same").select("doc_id", "raw", "root"), "groups")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, cell: int = CELL) -> DataFrame:
+    """doc_id, component_id (smallest id of the group): documents linked where their sets of shingles are at least so similar, words without regard to A-Z's case."""
+    found = _grouped(docs, id_col, text_col, shingle, least, cell)
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows, with all their columns, whose id is the smallest of its group of similar texts; of rows with one id, one stays. Rows without an id stay."""
-    unnamed, docs = docs.where(F.col(id_col).isNull()), docs.where(F.col(id_col).isNotNull())
-    found = similar(docs, id_col, text_col, shingle, least)
-    kept = written(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")), "kept")
-    rows = docs.join(kept.hint("merge"), docs[id_col].cast("long") == kept["__kept"])  # one plan at every size: the ids grow with the documents
-    single, several = rows.where("__n = 1").drop("__kept", "__n").unionByName(unnamed), kept.where("__n > 1")
+    """One row, with all its columns, of each group of similar texts: that with the smallest id, or without an id where none has one.
+
+    Rows with one id and unlike texts are in groups of their own; of a group's rows with that id, the text with the smallest MD5 stays.
+    """
+    found = _grouped(docs, id_col, text_col, shingle, least, CELL)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "raw"))
+    rows_of = found.groupBy("root", "doc_id", "raw").agg(F.count("*").alias("n"))
+    chosen = rows_of.groupBy("root").agg(F.min_by("n", F.struct(F.col("doc_id").isNull(), "doc_id", "raw")).alias("__n"), first.alias("at"))
+    kept = written(chosen.select(F.col("at.doc_id").alias("__kept"), F.col("at.raw").alias("__raw"), "__n"), "kept")
+    same_row = docs[id_col].cast("long").eqNullSafe(kept["__kept"]) & (F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == kept["__raw"])
+    rows = docs.join(kept.hint("merge"), same_row)  # one plan at every size: the ids grow with the documents
+    single, several = rows.where("__n = 1").drop("__kept", "__raw", "__n"), kept.where("__n > 1")
     if several.isEmpty():
         return single
-    numbered = Window.partitionBy("__kept").orderBy(F.xxhash64(text_col))
-    return single.unionByName(rows.where("__n > 1").withColumn("__n", F.row_number().over(numbered)).where("__n = 1").drop("__kept", "__n"))
+    numbered = Window.partitionBy("__kept", "__raw").orderBy(F.lit(0))
+    return single.unionByName(rows.where("__n > 1").withColumn("__n", F.row_number().over(numbered)).where("__n = 1").drop("__kept", "__raw", "__n"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

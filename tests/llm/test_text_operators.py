@@ -119,6 +119,12 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(rows).columns == rows.columns
 
 
+def test_unlike_texts_of_one_id_all_stay(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
+    rows = docs(spark, [a, b, a.upper(), c, c, c, d, a, a], [1, 1, 2, None, None, 5, None, 1, None])
+    assert sorted((r.doc_id or -1, r.text.lower()) for r in simhash.keep_one(rows).collect()) == [(-1, d), (1, a), (1, b), (5, c)]
+
+
 def test_digests_equal_brute_force(spark):
     texts = ["ﬁne  Text\n", "fine text", "FINE TEXT", "", None, "x", "longer text of words " * 30, "日本"]
     rows = {r.doc_id: r for r in exact_digest.digests(docs(spark, texts)).collect()}
