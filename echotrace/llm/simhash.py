@@ -281,12 +281,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
     wanted = reps.select("rep", F.col("raw").alias("raw_"), F.col("doc_id").alias("id_")).hint("merge")
     texts = source.join(wanted, (F.col("raw") == F.col("raw_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"])
     by_head = _checked(near, texts, shingle, least)
-    known = components(by_head)
+    # equal roots are linked for sure; members of one group with different ones are compared
+    known = by_head.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
     sides = reps.join(known, reps.rep == known.node, "left").select("rep", "parts", "shingles", "counts", F.coalesce("root", "rep").alias("root"))
     left = written(per_batch(_cells(buckets, sides, cell), "a long, b long", lambda batch: _unlinked(batch, least)), "unlinked")
     roots = components(by_head.unionByName(_checked(left, texts, shingle, least)))
     whole = reps.join(roots, reps.rep == roots.node, "left").select("same", F.coalesce("root", "rep").alias("root"))
-    return written(fps.join(whole, "same").select("doc_id", "raw", "root"), "groups")
+    return fps.join(whole, "same").select("doc_id", "raw", "root")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, cell: int = CELL) -> DataFrame:
