@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, an own one on a local master alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         found = "file://" + tempfile.mkdtemp(prefix="echotrace-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -103,10 +108,28 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cuts(df: DataFrame, column: str, n: int) -> list[int]:
-    """n-1 ascending bounds that deal the column's values into n ranges of like size; reads that column alone."""
+#: Bytes of input that a range of ids should hold, and the id that stands for none.
+RANGE_BYTES, NO_ID = 64 << 20, -(1 << 63)
+
+
+def ranges(source: DataFrame, least: int | None = None) -> np.ndarray:
+    """Ascending bounds that deal doc_id into ranges of like size, more of them the larger the input; an id with many rows is a bound several times."""
+    spark = source.sparkSession
+    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # a table of unknown size says more
+    n = min(max(least or partitions(spark), -(-size // RANGE_BYTES)), 50_000)  # numbers in the driver
     if n < 2:
-        return []
+        return np.zeros(0, np.int64)
     shares = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(column, F.array(*map(F.lit, shares)), 10 * n).alias("q")).first()
-    return sorted(set(found.q or []))
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    found = source.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)) if n < 1000 else F.expr(f"transform(sequence(1, {n - 1}), i -> i / {n}D)"), 10 * n).alias("q")).first()
+    return np.array(sorted(found.q or []), np.int64)
+
+
+def dealt(bounds: np.ndarray, ids: pa.Array, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's range, and a number from its text that orders rows of one id; an id that is a bound m times has its rows in m ranges, by that number."""
+    at = ids.fill_null(NO_ID).to_numpy()
+    first, past = np.searchsorted(bounds, at, "left"), np.searchsorted(bounds, at, "right")
+    tie = np.fromiter((xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) for x in texts), np.int64, len(texts))
+    return (first + (tie * np.maximum(past - first, 1) >> 32)).astype(np.int32), tie

@@ -6,11 +6,12 @@ FRAME_BYTES a frame; a longer document has a frame of its own), then a skippable
 compressed size, size and the low 32 bits of the content's XXH64, then the number of frames, a descriptor and a
 closing magic number. A reader opens the tail, then reads and checks only the frames that hold wanted documents.
 
+The number of files follows the input's size, and a document id that fills more than one file is dealt over several.
 Files go to the shared folder under names no other attempt uses; the manifest, a table that Spark commits, lists
 those of the attempts that count, so a lost executor leaves at most an unlisted file.
 
 Defined cases: a null or empty text has the end id alone; repeated rows are written each; a null id stands before
-all others; equal ids are ordered by their ids' bytes; no rows give an empty manifest and no rows.
+all others; equal ids are ordered by a hash of the text, then by their ids' bytes; no rows give an empty manifest and no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from echotrace.llm.common import cuts, id_and_text, new_folder, partitions, per_batch, table, written
+from echotrace.llm.common import dealt, id_and_text, new_folder, per_batch, ranges, table, written
 from echotrace.llm.tokens import encoder
 
 FRAME_BYTES = 1 << 18
@@ -48,12 +50,15 @@ class FrameWriter:
     """Takes documents in order; memory holds one frame and the index."""
 
     def __init__(self, out) -> None:
-        self.out, self.zip, self.entries, self.index, self.held, self.size = out, zstandard.ZstdCompressor(level=LEVEL), [], [], [], 0
+        self.out, self.zip, self.entries, self.held, self.size = out, zstandard.ZstdCompressor(level=LEVEL), [], [], 0
+        self.named, self.index = bytearray(), [array("q") for _ in INDEX.names]
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         if self.held and self.size + len(ids) > FRAME_BYTES:
             self._flush()
-        self.index.append((doc_id, len(ids) // 4, len(self.entries), self.size))
+        self.named.append(doc_id is not None)
+        for column, x in zip(self.index, (doc_id or 0, len(ids) // 4, len(self.entries), self.size)):
+            column.append(x)
         self.held.append(ids)
         self.size += len(ids)
 
@@ -69,7 +74,9 @@ class FrameWriter:
             self._flush()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, INDEX) as stream:
-            stream.write_batch(pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*self.index) if self.index else [[]] * 4, INDEX.types)], schema=INDEX))
+            columns = [np.frombuffer(x, np.int64) for x in self.index]
+            unnamed = np.frombuffer(bytes(self.named), np.uint8) == 0
+            stream.write_batch(pa.RecordBatch.from_arrays([pa.array(x, t, mask=None if i else unnamed) for i, (x, t) in enumerate(zip(columns, INDEX.types))], schema=INDEX))
         body = sink.getvalue().to_pybytes()
         body += struct.pack("<II", _check(body), len(body))
         self.out.write(struct.pack("<II", INDEX_MAGIC, len(body)) + body)
@@ -108,14 +115,14 @@ class FrameReader:
 
     def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int | None, int, bytes]]:
         """(doc_id, tokens of the file before it, ids); of `wanted` ids alone, decompressing only their frames."""
-        ids, n, frame, at = (self.index.column(c).to_pylist() for c in INDEX.names)
         keep, before, held, body = None if wanted is None else set(wanted), 0, -1, b""
-        for doc_id, size, f, a in zip(ids, n, frame, at):
-            if keep is None or doc_id in keep:
-                if f != held:
-                    held, body = f, self.frame(f)
-                yield doc_id, before, body[a : a + 4 * size]
-            before += size
+        for batch in self.index.to_batches(max_chunksize=4096):
+            for doc_id, size, f, a in zip(*(batch.column(c).to_pylist() for c in INDEX.names)):
+                if keep is None or doc_id in keep:
+                    if f != held:
+                        held, body = f, self.frame(f)
+                    yield doc_id, before, body[a : a + 4 * size]
+                before += size
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
@@ -128,14 +135,14 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "frames")
     source = id_and_text(docs, id_col, text_col)
-    bounds = np.array(cuts(source, "doc_id", partitions(spark)), np.int64)
+    bounds = ranges(source)
 
     def tokenise(batch: pa.RecordBatch) -> dict:
         zipped, end, ids = zstandard.ZstdCompressor(level=1), np.array([end_id], "<u4").tobytes(), batch.column("doc_id")
-        part = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
-        return {"part": pa.array(part), "doc_id": ids, "ids": [zipped.compress(x + end) for x in encoder(vocabulary).encode_each(batch.column("text"))]}
+        part, tie = dealt(bounds, ids, batch.column("text").to_pylist())
+        return {"part": pa.array(part), "doc_id": ids, "tie": pa.array(tie), "ids": [zipped.compress(x + end) for x in encoder(vocabulary).encode_each(batch.column("text"))]}
 
-    dealt = per_batch(source, "part int, doc_id long, ids binary", tokenise).repartitionById(len(bounds) + 1, F.col("part"))
+    placed = per_batch(source, "part int, doc_id long, tie long, ids binary", tokenise).repartitionById(len(bounds) + 1, F.col("part"))
     want = spark.createDataFrame([], "part int, file string, n_docs long, n_tokens long, n_bytes long").schema
     schema = to_arrow_schema(want)
 
@@ -158,7 +165,7 @@ def write(docs: DataFrame, folder: str | None = None, vocabulary: str | None = N
             size = system.get_file_info(f"{path}/{name}").size
             yield pa.RecordBatch.from_pylist([{"part": part, "file": f"{folder}/{name}", "n_docs": n_docs, "n_tokens": n_tokens, "n_bytes": size}], schema=schema)
 
-    manifest = written(dealt.sortWithinPartitions("part", "doc_id", "ids").mapInArrow(store, want), "manifest")
+    manifest = written(placed.sortWithinPartitions("part", "doc_id", "tie", "ids").drop("tie").mapInArrow(store, want), "manifest")
     return manifest
 
 

@@ -142,15 +142,28 @@ def test_digests_equal_brute_force(spark):
     assert exact_digest.digests(docs(spark, texts).limit(0)).count() == 0
 
 
-def test_colliding_digests_are_parted(spark, monkeypatch):
-    import functools
-
-    rows = docs(spark, ["a", "b", "a", "c"])
-    monkeypatch.setattr(exact_digest, "digest", lambda form: "same")
-    found, parts = exact_digest.groups(rows)
-    if parts is None:  # workers have their own copy of the module: collide by the column instead
-        pytest.skip("digest is not shared with the workers")
-    assert functools.reduce(lambda n, _: n + 1, parts.collect(), 0) == 4
+def test_colliding_digests_are_parted(spark):
+    texts, ids = ["a", "b", "a", "c", "A", None, "b", "b"], [1, 2, 3, 4, 4, None, None, 2]
+    rows = exact_digest.digests(docs(spark, texts, ids), name=lambda form: "00" * 16).collect()
+    assert sorted((str(r.group_id), r.group_size) for r in rows) == sorted([("1", 3)] * 3 + [("2", 3)] * 3 + [("4", 1), ("None", 1)])
+
+
+@pytest.mark.parametrize("ids", [[7] * 40, [None] * 40, [*range(20), *[5] * 20]])
+def test_ids_with_many_rows_keep_their_order(spark, ids):
+    texts = [f"text {i} {'x' * (i % 7)}" for i in range(40)]
+    rows = exact_digest.digests(docs(spark, texts, ids)).collect()
+    tie = {t: exact_digest.dealt(np.zeros(0, np.int64), pa.array([1]), [t])[1][0] for t in texts}
+    order = sorted(range(40), key=lambda i: (ids[i] is not None, ids[i] or 0, tie[texts[i]]), reverse=True)
+    want = []
+    for k, i in enumerate(order):
+        a, b = texts[i], texts[order[(k + 1) % 40]]
+        want.append((ids[i], len(a), hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()))
+    assert sorted(want, key=str) == sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in rows), key=str)
+    start = 0
+    got = sorted(token_frames.read(token_frames.write(docs(spark, texts, ids))).collect(), key=lambda r: r.start)
+    for r, i in zip(got, sorted(range(40), key=lambda i: (ids[i] is not None, ids[i] or 0, tie[texts[i]]))):
+        assert (r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) == (ids[i], start, [*encoder().library.encode(texts[i], add_special_tokens=False).ids, 2])
+        start += len(r.ids) // 4
 
 
 def test_frames_read_back(spark, library):
