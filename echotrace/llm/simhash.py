@@ -7,8 +7,9 @@ compared in place; a larger bucket is linked through the fingerprints one bit aw
 are within two bits exactly if they share such a neighbour or are neighbours), which lists no pairs.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; repeated rows keep
-one output row each; a null id takes part under null and is never a component's smallest id unless the
-component has no other; no rows give no rows.
+one output row each; a row without an id links as any other, and its component's id is null only where no row of it
+has one; rows with one id are rows each, linked by their own texts; extra columns are not read, or kept as they are by
+keep_one(), whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -119,9 +120,11 @@ def links(reps: DataFrame, radius: int = RADIUS, small: int = SMALL_BUCKET) -> D
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id that links reach)."""
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    roots = components(links(reps.where("rep is not null")))
-    whole = reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    reps = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "representatives")
+    roots = components(links(reps.select("fp", F.col("fp").alias("rep"))))  # a fingerprint is its own node: rows without an id link too
+    whole = reps.join(roots, reps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    whole = written(whole, "roots")
+    whole = whole.join(whole.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(whole, "fp").select("doc_id", hexed, "component_id")
 
@@ -139,8 +142,10 @@ WIDE = PARTS * PART_BITS  # 252 bits of 256
 COUNTS = 256
 #: Larger buckets are dealt into blocks of about so many members, and each two blocks meet in a cell of their own.
 CELL = 512
-#: Pairs whose fingerprints are held at a time.
-PAIRS = 1 << 14
+#: Pairs whose fingerprints are held at a time, and members from which a list's most frequent root is set apart.
+PAIRS, LONG_LIST = 1 << 14, 64
+#: Steps from a row to the row that it is alike to, and on: rows of one group that share a root after these don't meet again.
+STEPS = 3
 
 
 def _words(text: str) -> list[bytes]:
@@ -174,17 +179,26 @@ def similarity(a: list[bytes], b: list[bytes], shingle: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def _meetings(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """List, and the positions of two of its members, for all pairs in lists of such lengths that lie end to end; PAIRS at a time, or one list's."""
+def _meetings(lengths: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """List, and the positions of two of its members, for all pairs of members with different roots in lists of such lengths that lie end to
+    end; PAIRS or so at a time. A long list's most frequent root is set against the others, so its own members don't meet."""
     starts = np.cumsum(lengths) - lengths
     for m in np.unique(lengths[lengths > 1]).tolist():
-        x, y = np.triu_indices(m, 1)
         lists = np.flatnonzero(lengths == m)
-        for some in np.array_split(lists, -(-len(lists) * len(x) // PAIRS)) if len(x) < PAIRS else lists[:, None]:
+        if m > LONG_LIST:
+            for i in lists.tolist():
+                here = starts[i] + np.arange(m)
+                names, counts = np.unique(root[here], return_counts=True)
+                most = root[here] == names[counts.argmax()]
+                rest, inside = here[~most], here[most]
+                for k, x in enumerate(rest.tolist()):
+                    y = np.concatenate([inside, rest[k + 1 :]])
+                    yield np.full(len(y), i), np.minimum(x, y), np.maximum(x, y)
+            continue
+        x, y = np.triu_indices(m, 1)
+        for some in np.array_split(lists, -(-len(lists) * len(x) // PAIRS)):
             if len(some):
-                of, first, second = np.repeat(some, len(x)), (starts[some][:, None] + x).ravel(), (starts[some][:, None] + y).ravel()
-                for at in range(0, len(of), PAIRS):
-                    yield of[at : at + PAIRS], first[at : at + PAIRS], second[at : at + PAIRS]
+                yield np.repeat(some, len(x)), (starts[some][:, None] + x).ravel(), (starts[some][:, None] + y).ravel()
 
 
 def _near(shingles_a: np.ndarray, counts_a: np.ndarray, shingles_b: np.ndarray, counts_b: np.ndarray, least: float) -> np.ndarray:
@@ -206,7 +220,7 @@ def _unlinked(batch: pa.RecordBatch, least: float) -> dict:
     counts = _bytes(members.field("counts"))
     parts = members.field("parts").flatten().to_numpy().reshape(-1, PARTS)
     table, crossed = batch.column("key").to_numpy() >> 2 * PART_BITS, batch.column("i").to_numpy() != batch.column("j").to_numpy()
-    for of, x, y in _meetings(cells.value_lengths().to_numpy()):
+    for of, x, y in _meetings(cells.value_lengths().to_numpy(), root):
         open_ = (root[x] != root[y]) & ~(crossed[of] & (block[x] == block[y]))
         of, x, y = of[open_], x[open_], y[open_]
         equal, each = parts[x] == parts[y], np.arange(len(x))
@@ -246,8 +260,9 @@ def _checked(near: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, cell: int) -> DataFrame:
     """doc_id, raw (MD5 of the text), root: one number for each group of similar texts.
 
-    Texts of the same words collapse first, under a number of their own. A bucket's members meet the one with the smallest id; then all those that such links have
-    not connected meet one another, so a group of near copies lists few pairs and yet no two that share a bucket are left uncompared.
+    Texts of the same words collapse first, under a number of their own. Each row is checked against the head (smallest number) that it
+    shares most buckets with; what that links gets one root. Then, in every bucket that holds two roots or more, all members with different
+    roots meet one another, so a group of near copies lists few pairs and yet no two that share a bucket are left uncompared.
     """
     source = id_and_text(docs, id_col, text_col).withColumn("raw", F.md5("text"))
 
@@ -260,11 +275,6 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
                 column.append(x)
         return {"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "same": same, "parts": parts, "shingles": shingles, "counts": counts}
 
-    def near_head(batch: pa.RecordBatch) -> dict:
-        shingles, counts = ([f(batch.column(c + i)) for i in "ab"] for c, f in (("shingles_", lambda x: x.to_numpy()), ("counts_", _bytes)))
-        kept = pa.array(_near(shingles[0], counts[0], shingles[1], counts[1], least))
-        return {"a": batch.column("a").filter(kept), "b": batch.column("b").filter(kept)}
-
     fps = written(per_batch(source, "doc_id long, raw string, same binary, parts array<int>, shingles long, counts binary", of), "wide")
     one = fps.groupBy("same").agg(F.min(F.struct("raw", "doc_id")).alias("row"), *(F.first(c).alias(c) for c in ("parts", "shingles", "counts")))
     reps = written(one.select(F.monotonically_increasing_id().alias("rep"), "same", "row.*", "parts", "shingles", "counts"), "representatives")
@@ -274,18 +284,23 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
     # each row becomes 210: spread over more tasks, so that what a task combines before the shuffle stays small
     rows = reps.repartition(4 * partitions(docs.sparkSession)).select("rep", tables.alias("key"))
     heads = rows.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
-    buckets = written(rows.join(heads.hint("merge"), "key").select("key", "rep", "head", "n"), "buckets")
-    pairs = buckets.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    side = lambda i: reps.select(F.col("rep").alias(i), F.col("shingles").alias(f"shingles_{i}"), F.col("counts").alias(f"counts_{i}")).hint("merge")
-    near = written(per_batch(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "counts_a", "shingles_b", "counts_b"), "a long, b long", near_head), "near")
+    buckets = written(rows.join(heads.hint("merge"), "key").select("key", "rep", "head"), "buckets")
+    shared = buckets.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("n"))
+    nearest = shared.groupBy("rep").agg(F.max(F.struct("n", (-F.col("head")).alias("head"))).alias("at")).select((-F.col("at.head")).alias("a"), F.col("rep").alias("b"))
     wanted = reps.select("rep", F.col("raw").alias("raw_"), F.col("doc_id").alias("id_")).hint("merge")
     texts = source.join(wanted, (F.col("raw") == F.col("raw_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    by_head = _checked(near, texts, shingle, least)
-    # equal roots are linked for sure; members of one group with different ones are compared
-    known = by_head.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-    sides = reps.join(known, reps.rep == known.node, "left").select("rep", "parts", "shingles", "counts", F.coalesce("root", "rep").alias("root"))
-    left = written(per_batch(_cells(buckets, sides, cell), "a long, b long", lambda batch: _unlinked(batch, least)), "unlinked")
-    roots = components(by_head.unionByName(_checked(left, texts, shingle, least)))
+    linked = _checked(nearest, texts, shingle, least)  # a row's head has a smaller number: a forest
+    known = linked.select("b", "a")
+    for _ in range(STEPS):
+        up = linked.select(F.col("b").alias("from"), F.col("a").alias("to"))
+        known = known.join(up, known.a == up["from"], "left").select("b", F.coalesce("to", "a").alias("a"))
+    root = written(reps.select("rep").join(known, reps.rep == known.b, "left").select("rep", F.coalesce("a", "rep").alias("root")), "roots")
+    met = buckets.select("key", "rep").join(root.hint("merge"), "rep")
+    mixed = met.groupBy("key").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed").drop("mixed")
+    met = written(met.join(mixed.hint("merge"), "key").select("key", "rep", "n"), "mixed")
+    sides = reps.join(root, "rep").select("rep", "parts", "shingles", "counts", "root")
+    left = written(per_batch(_cells(met, sides, cell), "a long, b long", lambda batch: _unlinked(batch, least)), "unlinked")
+    roots = components(linked.unionByName(_checked(left, texts, shingle, least)))
     whole = reps.join(roots, reps.rep == roots.node, "left").select("same", F.coalesce("root", "rep").alias("root"))
     return fps.join(whole, "same").select("doc_id", "raw", "root")
 
@@ -299,20 +314,30 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One row, with all its columns, of each group of similar texts: that with the smallest id, or without an id where none has one.
 
-    Rows with one id and unlike texts are in groups of their own; of a group's rows with that id, the text with the smallest MD5 stays.
+    Rows with one id and unlike texts are in groups of their own; of a group's rows with that id, the text with the smallest MD5 stays,
+    and of equal ones any. Null and empty texts, and those of white space, are one group. No rows give no rows.
     """
     found = _grouped(docs, id_col, text_col, shingle, least, CELL)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "raw"))
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "raw")
     rows_of = found.groupBy("root", "doc_id", "raw").agg(F.count("*").alias("n"))
-    chosen = rows_of.groupBy("root").agg(F.min_by("n", F.struct(F.col("doc_id").isNull(), "doc_id", "raw")).alias("__n"), first.alias("at"))
-    kept = written(chosen.select(F.col("at.doc_id").alias("__kept"), F.col("at.raw").alias("__raw"), "__n"), "kept")
-    same_row = docs[id_col].cast("long").eqNullSafe(kept["__kept"]) & (F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == kept["__raw"])
+    chosen = rows_of.groupBy("root").agg(F.min_by("n", first).alias("n"), F.min(first).alias("at"))
+    kept_id, kept_raw, kept_n = (_unused(docs, x) for x in ("kept_id", "kept_raw", "kept_n"))
+    kept = written(chosen.select(F.col("at.doc_id").alias(kept_id), F.col("at.raw").alias(kept_raw), F.col("n").alias(kept_n)), "kept")
+    same_row = docs[id_col].cast("long").eqNullSafe(kept[kept_id]) & (F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == kept[kept_raw])
     rows = docs.join(kept.hint("merge"), same_row)  # one plan at every size: the ids grow with the documents
-    single, several = rows.where("__n = 1").drop("__kept", "__raw", "__n"), kept.where("__n > 1")
+    single, several = rows.where(F.col(kept_n) == 1).drop(kept_id, kept_raw, kept_n), kept.where(F.col(kept_n) > 1)
     if several.isEmpty():
         return single
-    numbered = Window.partitionBy("__kept", "__raw").orderBy(F.lit(0))
-    return single.unionByName(rows.where("__n > 1").withColumn("__n", F.row_number().over(numbered)).where("__n = 1").drop("__kept", "__raw", "__n"))
+    numbered = Window.partitionBy(kept_id, kept_raw).orderBy(F.lit(0))
+    return single.unionByName(rows.where(F.col(kept_n) > 1).withColumn(kept_n, F.row_number().over(numbered)).where(F.col(kept_n) == 1).drop(kept_id, kept_raw, kept_n))
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """A name that no column of the frame has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

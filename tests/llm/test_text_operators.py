@@ -119,6 +119,18 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(rows).columns == rows.columns
 
 
+def test_clashing_names_and_rows_without_ids(spark):
+    names = "doc_id long, text string, __n int, __kept string, kept_id int, KEPT_N string, raw string, root int"
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = spark.createDataFrame([(i, t, 1, "k", 2, "n", "r", 3) for i, t in [(1, text), (2, text), (2, text), (None, "lone"), (None, "LONE"), (None, None), (9, "")]], names)
+    got = simhash.keep_one(rows)
+    assert got.columns == rows.columns and got.schema == rows.schema
+    assert sorted((r.doc_id or 0, (r.text or "").lower(), r.KEPT_N, r.root) for r in got.collect()) == [(0, "lone", "n", 3), (1, text, "n", 3), (9, "", "n", 3)]
+    assert simhash.keep_one(rows.limit(0)).columns == rows.columns and simhash.keep_one(rows.limit(0)).count() == 0
+    found = sorted((r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(rows).collect())
+    assert len(found) == 7 and [c for f, c in found if f == "0" * 16] == ["9", "9"] and sum(c == "1" for _, c in found) == 3 and sum(c == "None" for _, c in found) == 2
+
+
 def test_unlike_texts_of_one_id_all_stay(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
     rows = docs(spark, [a, b, a.upper(), c, c, c, d, a, a], [1, 1, 2, None, None, 5, None, 1, None])
