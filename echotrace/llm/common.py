@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -77,10 +78,21 @@ def per_batch(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], dict]) -
             if batch.num_rows:
                 got = f(batch)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in ((got[n.name], n.type) for n in arrow)], schema=arrow)
+                got = batch = None
+        release()
 
     return df.mapInArrow(run, want)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system, as a worker waits for the next task with it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator works on, under fixed names; a null text counts as empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

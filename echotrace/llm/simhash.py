@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import id_and_text, partitions, per_batch, table, written
+from echotrace.llm.common import bound_batches, id_and_text, partitions, per_batch, release, table, written
 from echotrace.llm.components import components
 
 RADIUS = 2
@@ -144,8 +144,8 @@ COUNTS = 256
 CELL = 512
 #: Pairs whose fingerprints are held at a time, and members from which a list's most frequent root is set apart.
 PAIRS, LONG_LIST = 1 << 14, 64
-#: Steps from a row to the row that it is alike to, and on: rows of one group that share a root after these don't meet again.
-STEPS = 3
+#: Heads that a row is checked against first: enough links a row to leave few groups in more than one part. What they leave is compared in full.
+HEADS = 4
 
 
 def _words(text: str) -> list[bytes]:
@@ -212,35 +212,63 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COUNTS)
 
 
-def _unlinked(batch: pa.RecordBatch, least: float) -> dict:
-    """Pairs of a cell's members that have different roots and may be similar, each in the first of the buckets that both are in."""
-    cells, out = batch.column("members"), []
-    members = cells.flatten()
-    rep, root, block, shingles = (members.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "root", "block", "shingles"))
-    counts = _bytes(members.field("counts"))
-    parts = members.field("parts").flatten().to_numpy().reshape(-1, PARTS)
-    table, crossed = batch.column("key").to_numpy() >> 2 * PART_BITS, batch.column("i").to_numpy() != batch.column("j").to_numpy()
-    for of, x, y in _meetings(cells.value_lengths().to_numpy(), root):
+def _unlinked(members: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of cells' members that have different roots and may be similar, each in the first of the buckets that both are in. Rows in order of their cells."""
+    key, i, j, rep, root, block, shingles = (members.column(c).to_numpy() for c in ("key", "i", "j", "rep", "root", "block", "shingles"))
+    counts = _bytes(members.column("counts"))
+    parts = np.frombuffer(b"".join(members.column("bits").to_pylist()), "<u2").reshape(-1, PARTS)
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    table, crossed, out = key[starts] >> 2 * PART_BITS, i[starts] != j[starts], []
+    for of, x, y in _meetings(np.diff(np.append(starts, len(key))), root):
         open_ = (root[x] != root[y]) & ~(crossed[of] & (block[x] == block[y]))
         of, x, y = of[open_], x[open_], y[open_]
         equal, each = parts[x] == parts[y], np.arange(len(x))
-        i = equal.argmax(1)
-        equal[each, i] = False
-        first = PARTS * i + equal.argmax(1) == table[of]
+        k = equal.argmax(1)
+        equal[each, k] = False
+        first = PARTS * k + equal.argmax(1) == table[of]
         x, y = x[first], y[first]
         kept = _near(shingles[x], counts[x], shingles[y], counts[y], least)
         out.append((rep[x[kept]], rep[y[kept]]))
-    a, b = (np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)]) for i in (0, 1))
-    return {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(o[n] for o in out)]) for n in (0, 1))
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def _cells(met: DataFrame, sides: DataFrame, size: int) -> DataFrame:
-    """Buckets (key, rep, n) to key, i, j, members: all members of a bucket, or of two of its blocks."""
+    """Buckets (key, rep, n) to the rows of their cells, one cell's after another: all members of a bucket, or of two of its blocks."""
     blocks = F.ceil(F.col("n") / size).cast("int")
     placed = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), "blocks").cast("int"))
     cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    dealt = placed.select("key", "rep", "block", cells.alias("at")).join(sides.hint("merge"), "rep")
-    return dealt.groupBy("key", F.col("at.i").alias("i"), F.col("at.j").alias("j")).agg(F.collect_list(F.struct("rep", "root", "block", "parts", "shingles", "counts")).alias("members"))
+    placed = placed.select("key", "rep", "block", cells.alias("at")).join(sides.hint("merge"), "rep")
+    rows = placed.select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "rep", "root", "block", "bits", "shingles", "counts")
+    return rows.repartition(partitions(met.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _met(cells: DataFrame, least: float) -> DataFrame:
+    """a, b of _unlinked() for all cells; a task holds one batch and the cell that goes on in the next."""
+    bound_batches(cells.sparkSession)
+    ids = ("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [batch.column(c)[-1].as_py() for c in ids]
+            goes_on = np.logical_and.reduce([batch.column(c).to_numpy() == x for c, x in zip(ids, last)])
+            cut = batch.num_rows - int(goes_on.sum())
+            if cut:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, _unlinked(pa.Table.from_batches([*held, batch.slice(0, cut)]), least))), names=["a", "b"])
+                held = [batch.slice(cut)]
+            elif held and [held[0].column(c)[-1].as_py() for c in ids] != last:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, _unlinked(pa.Table.from_batches(held), least))), names=["a", "b"])
+                held = [batch]
+            else:
+                held.append(batch)
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, _unlinked(pa.Table.from_batches(held), least))), names=["a", "b"])
+        release()
+
+    return cells.mapInArrow(run, "a long, b long")
 
 
 def _checked(near: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -260,8 +288,8 @@ def _checked(near: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, cell: int) -> DataFrame:
     """doc_id, raw (MD5 of the text), root: one number for each group of similar texts.
 
-    Texts of the same words collapse first, under a number of their own. Each row is checked against the head (smallest number) that it
-    shares most buckets with; what that links gets one root. Then, in every bucket that holds two roots or more, all members with different
+    Texts of the same words collapse first, under a number of their own. Each row is checked against the HEADS heads (a bucket's
+    smallest number) that it shares most buckets with; what that links gets one root. Then, in every bucket that holds two roots or more, all members with different
     roots meet one another, so a group of near copies lists few pairs and yet no two that share a bucket are left uncompared.
     """
     source = id_and_text(docs, id_col, text_col).withColumn("raw", F.md5("text"))
@@ -273,11 +301,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
             same.append(xxhash.xxh3_128_digest(b" ".join(words)))
             for column, x in zip((parts, shingles, counts), _sketch(words, shingle)):
                 column.append(x)
-        return {"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "same": same, "parts": parts, "shingles": shingles, "counts": counts}
+        bits = [x.astype("<u2").tobytes() for x in parts]
+        return {"doc_id": batch.column("doc_id"), "raw": batch.column("raw"), "same": same, "parts": parts, "bits": bits, "shingles": shingles, "counts": counts}
 
-    fps = written(per_batch(source, "doc_id long, raw string, same binary, parts array<int>, shingles long, counts binary", of), "wide")
-    one = fps.groupBy("same").agg(F.min(F.struct("raw", "doc_id")).alias("row"), *(F.first(c).alias(c) for c in ("parts", "shingles", "counts")))
-    reps = written(one.select(F.monotonically_increasing_id().alias("rep"), "same", "row.*", "parts", "shingles", "counts"), "representatives")
+    fps = written(per_batch(source, "doc_id long, raw string, same binary, parts array<int>, bits binary, shingles long, counts binary", of), "wide")
+    one = fps.groupBy("same").agg(F.min(F.struct("raw", "doc_id")).alias("row"), *(F.first(c).alias(c) for c in ("parts", "bits", "shingles", "counts")))
+    reps = written(one.select(F.monotonically_increasing_id().alias("rep"), "same", "row.*", "parts", "bits", "shingles", "counts"), "representatives")
     last = F.lit(PARTS - 1)
     key = lambda i, j: F.lit(1 << 2 * PART_BITS).cast("long") * (PARTS * i + j) + F.col("parts")[i].cast("long") * (1 << PART_BITS) + F.col("parts")[j]
     tables = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: key(i, j)))))
@@ -286,20 +315,18 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
     heads = rows.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
     buckets = written(rows.join(heads.hint("merge"), "key").select("key", "rep", "head"), "buckets")
     shared = buckets.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("n"))
-    nearest = shared.groupBy("rep").agg(F.max(F.struct("n", (-F.col("head")).alias("head"))).alias("at")).select((-F.col("at.head")).alias("a"), F.col("rep").alias("b"))
+    best = Window.partitionBy("rep").orderBy(F.desc("n"), "head")  # a row has a head for each of its buckets at most
+    nearest = shared.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HEADS).select(F.col("head").alias("a"), F.col("rep").alias("b"))
     wanted = reps.select("rep", F.col("raw").alias("raw_"), F.col("doc_id").alias("id_")).hint("merge")
     texts = source.join(wanted, (F.col("raw") == F.col("raw_")) & F.col("doc_id").eqNullSafe(F.col("id_"))).select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    linked = _checked(nearest, texts, shingle, least)  # a row's head has a smaller number: a forest
-    known = linked.select("b", "a")
-    for _ in range(STEPS):
-        up = linked.select(F.col("b").alias("from"), F.col("a").alias("to"))
-        known = known.join(up, known.a == up["from"], "left").select("b", F.coalesce("to", "a").alias("a"))
-    root = written(reps.select("rep").join(known, reps.rep == known.b, "left").select("rep", F.coalesce("a", "rep").alias("root")), "roots")
+    linked = _checked(nearest, texts, shingle, least)
+    known = components(linked)
+    root = written(reps.select("rep").join(known, reps.rep == known.node, "left").select("rep", F.coalesce("root", "rep").alias("root")), "roots")
     met = buckets.select("key", "rep").join(root.hint("merge"), "rep")
     mixed = met.groupBy("key").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed").drop("mixed")
     met = written(met.join(mixed.hint("merge"), "key").select("key", "rep", "n"), "mixed")
-    sides = reps.join(root, "rep").select("rep", "parts", "shingles", "counts", "root")
-    left = written(per_batch(_cells(met, sides, cell), "a long, b long", lambda batch: _unlinked(batch, least)), "unlinked")
+    sides = reps.join(root, "rep").select("rep", "bits", "shingles", "counts", "root")
+    left = written(_met(_cells(met, sides, cell), least), "unlinked")
     roots = components(linked.unionByName(_checked(left, texts, shingle, least)))
     whole = reps.join(roots, reps.rep == roots.node, "left").select("same", F.coalesce("root", "rep").alias("root"))
     return fps.join(whole, "same").select("doc_id", "raw", "root")
