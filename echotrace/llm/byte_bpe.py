@@ -2,8 +2,10 @@
 
 Texts are put together from chunks (see chunks.py), which each worker encodes once while it remembers them. The
 split pattern's matches inside new chunks become token-position rows; a recursive query joins neighbours with the merge table
-and contracts each word's leftmost pair of minimum rank until no pair is left. Words of more than LONG_WORD bytes
-take the same contraction by a heap, as the recursive query's rows grow with the square of a word's length.
+and contracts each word's leftmost pair of minimum rank until no pair is left. For short words each round is a new set of
+rows; for words of more than SHORT_WORD bytes rounds change their rows in place (USING KEY), so memory grows with the word alone.
+A round looks at all of a word's pairs, so time grows with the square of its length (15 s for 5,000 bytes): beyond LONGEST_WORD
+bytes the same contraction goes by a heap, which the tests hold against both queries.
 Decoding joins each document's ids with the vocabulary and concatenates the bytes by ordered aggregation.
 
 Defined cases: a null or empty text has no ids, and decodes to no bytes; repeated rows keep one output row each;
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from echotrace.llm.chunks import ChunkCoder
 from echotrace.llm.common import id_and_text, per_batch, table
 
-LONG_WORD = 128  # less than the 1024 places that the query packs beside a rank
+SHORT_WORD = 128  # less than the 1024 places that the query packs beside a rank
+LONGEST_WORD = 4096
 #: Words a worker remembers as lately met; it keeps as many again that were met before those.
 REMEMBERED = 500_000
 #: Ids decoded by one query.
@@ -64,11 +67,39 @@ SELECT word, list(id ORDER BY pos) AS ids FROM state JOIN last USING (word, roun
 UNION ALL SELECT word, [id] FROM known
 """
 
+#: The same for long words: a round writes the token that grows, the one that goes and the one before them.
+ENCODE_LONG = """
+WITH RECURSIVE state(word, pos, id, following, following_pos) USING KEY (word, pos) AS (
+    SELECT word, pos, id, lead(id) OVER w, lead(pos) OVER w
+    FROM (
+        SELECT b.word, b.pos, v.id
+        FROM (SELECT word, piece, unnest(range(0, length(piece) // 2)) AS pos FROM words) b
+        JOIN vocabulary v ON v.piece = b.piece[2 * b.pos + 1 : 2 * b.pos + 2]
+    ) WINDOW w AS (PARTITION BY word ORDER BY pos)
+    UNION
+    (WITH pairs AS (
+        SELECT s.word, s.pos, s.following_pos, m.id
+        FROM recurring.state s JOIN merges m ON m.l = s.id AND m.r = s.following
+        WHERE s.word IN (SELECT word FROM state)
+    ), chosen AS (
+        SELECT word, min(struct_pack(id := id, pos := pos, gone := following_pos)) AS best FROM pairs GROUP BY word
+    ), taken AS (
+        SELECT c.word, c.best, g.following, g.following_pos FROM chosen c JOIN recurring.state g ON g.word = c.word AND g.pos = c.best.gone
+    )
+    SELECT word, best.gone, NULL::INTEGER, NULL::INTEGER, NULL::BIGINT FROM taken
+    UNION ALL
+    SELECT word, best.pos, best.id, following, following_pos FROM taken
+    UNION ALL
+    SELECT c.word, p.pos, p.id, c.best.id, c.best.pos FROM chosen c JOIN recurring.state p ON p.word = c.word AND p.following_pos = c.best.pos AND p.id IS NOT NULL)
+)
+SELECT word, list(id ORDER BY pos) AS ids FROM state WHERE id IS NOT NULL GROUP BY word
+"""
+
 DECODE = "SELECT t.doc, string_agg(v.piece, '' ORDER BY t.pos) AS bytes FROM tokens t JOIN vocabulary v USING (id) GROUP BY t.doc"
 
 
 def contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same ids as the recursive query's, by a heap over linked neighbours."""
+    """The same ids as the recursive queries', by a heap over linked neighbours."""
     n = len(word)
     end, after, before = [*range(1, n + 1)], [*range(1, n + 1)], [*range(-1, n - 1)]
     heap = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
@@ -107,12 +138,23 @@ class Codec:
 
     def _learn_words(self, new: list[str]) -> None:
         coded = [x.encode() for x in new]
-        for w, b in zip(new, coded):
-            if len(b) > LONG_WORD:
-                self.words[w] = np.array([self.ranks[b]] if b in self.ranks else contract(b, self.ranks), "<u4").tobytes()
-        short = [i for i, b in enumerate(coded) if len(b) <= LONG_WORD]
-        self.db.register("words", pa.table({"word": pa.array(short, pa.int32()), "piece": [coded[i].hex() for i in short]}))
-        for batch in self.db.sql(ENCODE).to_arrow_reader(65536):
+        runs: dict[str, list[int]] = {ENCODE: [], ENCODE_LONG: []}
+        for i, (w, b) in enumerate(zip(new, coded)):
+            if len(b) <= SHORT_WORD:
+                runs[ENCODE].append(i)
+            elif b in self.ranks:
+                self.words[w] = np.array([self.ranks[b]], "<u4").tobytes()
+            elif len(b) <= LONGEST_WORD:
+                runs[ENCODE_LONG].append(i)
+            else:
+                self.words[w] = np.array(contract(b, self.ranks), "<u4").tobytes()
+        for query, some in runs.items():
+            if some:
+                self._contract(query, some, new, coded)
+
+    def _contract(self, query: str, some: list[int], new: list[str], coded: list[bytes]) -> None:
+        self.db.register("words", pa.table({"word": pa.array(some, pa.int32()), "piece": [coded[i].hex() for i in some]}))
+        for batch in self.db.sql(query).to_arrow_reader(65536):
             lists = batch.column("ids")
             flat, at = lists.flatten().to_numpy().astype("<u4").tobytes(), lists.offsets.to_numpy() * 4
             at -= at[0]

@@ -110,8 +110,10 @@ def scored(docs: DataFrame, model: object, score: Callable[[list[str], object],
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(score(texts.tolist(), sent.value))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(score(texts.tolist(), sent.value))
+        release()
 
     return of(F.coalesce(docs[text_col].cast("string"), F.lit("")))
 

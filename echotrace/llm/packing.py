@@ -2,8 +2,8 @@
 
 Blocks of pieces are packed by best fit, longest first. Bins that are nearly full are done; the others become items
 of the next round, in which FAN blocks' bins are packed together by the same best fit, and so on until one block is
-left. A block passes on KEPT bins at most: beyond that its fullest bins, which fit with least, are done as they are,
-so no task's rows grow with the input. Pieces move by two numbers (sequence, offset); texts are read once.
+left. No round drops or closes a bin early: where a node of the tree has more than BLOCK_ROWS bins, they are dealt into as many
+parts as that takes, each of bins of all sizes, which are packed side by side, so no task's rows grow with the input. Pieces move by two numbers (sequence, offset); texts are read once.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; null ids are packed as
 others; ties go by the order of the rows; no rows give no rows.
@@ -30,7 +30,6 @@ CAPACITY = 1024
 NEARLY = 0.005
 FAN = 8
 BLOCK_ROWS = 1 << 18
-KEPT = 1 << 16
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,7 +69,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def pack(found: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, fan: int = FAN, kept: int = KEPT) -> DataFrame:
+def pack(found: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """Pieces (any columns, with length from 1 to capacity) with sequence_id and offset."""
     spark, nearly = found.sparkSession, int(capacity * (1 - NEARLY))
     want = found.withColumns({"block": F.lit(0).cast("long"), "sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
@@ -118,11 +117,14 @@ def pack(found: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROW
                 bases = [int(x) + int(a) for g, a in zip(group["bases"], group["at"]) for x in g]
                 out.append((rows["node"].iloc[0], ids[0], int(group["fill"].sum()), ids, bases, False))
             out = pd.DataFrame(out, columns=["node", "sequence_id", "fill", "ids", "bases", "done"])
-            out["done"] = last | (out["fill"] >= nearly) | (out["fill"].rank(method="first") > kept)
+            out["done"] = last | (out["fill"] >= nearly)
             return out
 
-        moved = under.withColumn("node", F.expr(f"node div {fan}")).groupBy("node").applyInPandas(merge, "node long, sequence_id long, fill long, ids array<long>, bases array<long>, done boolean")
-        moved = written(moved, "merged")
+        under = under.withColumn("node", F.expr(f"node div {fan}"))
+        sizes = under.groupBy("node").agg(F.ceil(F.count("*") / block_rows).alias("parts"))  # a row a node
+        dealt = under.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("sequence_id"), "parts"))
+        moved = dealt.groupBy("node", "part").applyInPandas(merge, "node long, sequence_id long, fill long, ids array<long>, bases array<long>, done boolean")
+        moved = written(moved, f"merged-{count}")
         done.append(moved.where("done"))
         under = moved.where("not done").drop("done")
     placed = done[0]

@@ -17,8 +17,8 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks in a string that the library encodes.
-JOINED = 100
+#: Chunks in a string that the library encodes, and strings it encodes at a time: what it returns for them takes far more memory than the ids.
+JOINED, AT_ONCE = 100, 1000
 #: White space of the pre-tokenizer's pattern, and ASCII punctuation.
 SPACES = r"\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -59,13 +59,16 @@ class Encoder:
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(self.library.get_vocab_size())])
 
     def _table(self, texts: list[str]) -> Table:
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return Table(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+        ids, sizes = [np.zeros(0, np.uint32)], []
+        for at in range(0, len(texts), AT_ONCE):
+            found = [e.ids for e in self.library.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
+            some = list(map(len, found))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, sum(some)))
+            sizes += some
+        return Table(np.concatenate(ids), np.array(sizes, np.int64))
 
     def _after_space(self, chunks: list[str]) -> Table:
-        groups = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
-        whole = self._table([" " + " ".join(g) for g in groups])
+        whole = self._table([" " + " ".join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)])
         starts = np.flatnonzero(self.spaced[whole.ids])
         if len(starts) == len(chunks):
             return Table(whole.ids, np.diff(np.append(starts, len(whole.ids))))

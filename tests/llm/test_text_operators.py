@@ -15,7 +15,7 @@ from echotrace.llm import byte_bpe, exact_digest, packing, simhash, token_frames
 from echotrace.llm.components import components
 from echotrace.llm.tokens import encoder
 
-ODD = ["", " ", "a", "a  b", " lead", "trail ", "trail\n", "it's I'LL we'll 1234567 ünïcödé 日本語", "<|endoftext|> a", "x y 　z", "ab" * 400, "\n \n\n  x   y", "Tag! 'quoted' (x), y's z?"]
+ODD = ["=" * 700, "x" + "qz" * 300, "", " ", "a", "a  b", " lead", "trail ", "trail\n", "it's I'LL we'll 1234567 ünïcödé 日本語", "<|endoftext|> a", "x y 　z", "ab" * 400, "\n \n\n  x   y", "Tag! 'quoted' (x), y's z?"]
 DOCS = "doc_id long, text string, lang string, fp string, rep string, at int"
 
 
@@ -47,10 +47,12 @@ def test_encoders_equal_the_libraries(library):
     assert codec.decode(ids) == [x.encode() for x in texts]
 
 
-def test_the_query_and_the_heap_contract_alike():
+def test_the_queries_and_the_heap_contract_alike():
     codec = byte_bpe.Codec(P.path("byte_bpe_50k.tiktoken"))
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefghilmnorstu"), rng.integers(2, 60))) for _ in range(300)]
+    words += ["".join(rng.choice(list("abcdefghilmnorstu"), n)) for n in (129, 200, 700)] + ["=" * 333, "é" * 150, "ab" * 90]
+    assert sum(len(w) > byte_bpe.SHORT_WORD for w in words) >= 5
     codec._learn_words(words)
     assert [np.frombuffer(codec.words[w], "<u4").tolist() for w in words] == [[codec.ranks[w.encode()]] if w.encode() in codec.ranks else byte_bpe.contract(w.encode(), codec.ranks) for w in words]
 
@@ -228,15 +230,15 @@ def test_packing_of_documents(spark, library):
     assert packing.pack_documents(docs(spark, texts).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("low", [1, 520])
+@pytest.mark.parametrize("low", [1, 400, 520])
 def test_blocks_are_merged(spark, low):
     sizes = np.random.default_rng(6).integers(low, 700, 3000)
     found = spark.createDataFrame([(i, int(s)) for i, s in enumerate(sizes)], "doc_id long, length long").repartition(4)
-    rows = packing.pack(found, 1024, block_rows=200, fan=2, kept=50).collect()
+    rows = packing.pack(found, 1024, block_rows=200, fan=2).collect()
     assert len(rows) == 3000
     n = check_packing(rows, 1024)
     best = len(set(packing.best_fit(sizes, 1024)[0].tolist()))
-    assert n <= best * 1.02 + 1
+    assert n <= best * 1.02 + 1 and {r.doc_id for r in rows} == set(range(3000))
 
 
 def test_similar_texts_are_linked(spark):
