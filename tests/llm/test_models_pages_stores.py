@@ -83,36 +83,107 @@ def test_filters_keep_columns(spark):
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><h2>Site</h2></header><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='cookie-notice'>We use cookies</div>{}<aside>More</aside><section id='comments'><article><p>First!</p></article></section><form><label>Name</label><input></form><footer>&copy; us</footer></body></html>"
 
 
-@pytest.mark.parametrize(
-    ("body", "text"),
-    [
-        ("<article><h1>A &amp; B</h1><p>One<br>two  <b>three</b>.<p>Four<script>x('</p>')</script></article>", "A & B\nOne two three.\nFour"),
-        ("<main><div class='post'><p>One&nbsp;x</p><div class='ad'>Buy</div><ul><li>a<li>b</ul></div></main>", "One x\na\nb"),
-        ("<article><p>Text<!-- no --> on</p><div class='comments'><p>reader</p></div><footer>tags</footer></article>", "Text on"),
-        ("<article></article>", ""),
-        ("<article><p>&lt;b&gt; stays &#65;</p></article>", "<b> stays A"),
-    ],
-)
-def test_layouts(body, text):
-    assert page_templates.extract(PAGE.format(body), frozenset()) == text
+LAYOUTS = [
+    ("<article><h1>A &amp; B</h1><p>One<br>two  <b>three</b>.<p>Four<script>x('</p>')</script></article>", "A & B\nOne two three.\nFour"),
+    ("<main><div class='post'><p>One&nbsp;x</p><div class='ad'>Buy</div><ul><li>a<li>b</ul></div></main>", "One x\na\nb"),
+    ("<article><p>Text<!-- no --> on</p><div class='comments'><p>reader</p></div><footer>tags</footer></article>", "Text on"),
+    ("<article></article>", ""),
+    ("<article><p>&lt;b&gt; stays &#65;</p></article>", "<b> stays A"),
+    ("<article><p>One</p><div class='response'><p>kept as it stands once</p></div></article>", "One\nkept as it stands once"),
+]
+
+
+def test_layouts(spark):
+    rows = []
+    for i, (body, _) in enumerate(LAYOUTS):
+        name = "main" if "<main" in body else "article"
+        rows.append((i, f"http://h{i}.example/x", PAGE.format(body)))
+        rows += [(100 * (i + 1) + k, f"http://h{i}.example/{k}", PAGE.format(f"<{name}><h1>{good(4)}</h1><p>{good(40)}</p></{name}>")) for k in range(7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"site": F.lit("x"), "host": F.lit(1), "text": F.lit("y"), "rows": F.lit(2)})
+    got = {r.page_id: r.text for r in page_templates.main_text(pages).collect()}
+    assert [got[i] for i in range(len(LAYOUTS))] == [text for _, text in LAYOUTS]
+    assert all(page_templates.extract(h) != got[i] for i, _, h in rows)  # it is the template that tells them
 
 
 @pytest.mark.parametrize("page", ["", "<", "<p", "a < b", "<article><p>cut he", "<article><p>cut</p><p", "<<<>>>", "<article><p>x &am", "</p></article>x", "<script>", "<p class='a", "plain text"])
 def test_broken_pages(page):
-    out = page_templates.extract(page, frozenset())
-    assert "<p" not in out
+    some = page_templates.Template(5, frozenset([1]), frozenset(), frozenset())
+    assert "<p" not in page_templates.extract(page) and "<p" not in page_templates.extract(page, some)
     page_templates.tokens(page)
 
 
+def plain_deduction(bodies):
+    """Classes by whole vectors, order and nesting checked token by token, the region by sums over all pages: without hashes of vectors or sums."""
+    P = page_templates
+    streams = []
+    for body in bodies:
+        one = []
+        for kind, stack, what in P.walk(body):
+            if kind == "open":
+                one.append((P._hash("e", stack[-1].path), None))
+            elif kind == "text" and P._spaced(what):
+                one.append((P._hash("t", stack[-1].path if stack else "", P._spaced(what)), (P._spaced(what), stack)))
+        streams.append(one)
+    names = {t for one in streams for t, _ in one}
+    vectors = {t: tuple(sum(x == t for x, _ in one) for one in streams) for t in names}
+    frequent = [t for t in names if sum(v > 0 for v in vectors[t]) >= max(P.PAGES, P.SHARE * len(bodies))]
+    classes = {}
+    for t in frequent:
+        classes.setdefault(vectors[t], set()).add(t)
+    once = {v for v in classes if max(v) == 1}
+    valid = {}
+    for v, c in classes.items():
+        if v in once or len(c) > 1:
+            orders = [[t for t, _ in one if t in c] for one in streams]
+            first = next(o for o in orders if o)[: len(c)]
+            good = [o == first * (len(o) // len(c)) for o in orders if o]
+            if all(good):
+                valid[v] = c
+    frame = {t for v, c in valid.items() if v in once for t in c}
+    texts = {t for one in streams for t, x in one if x and t in frame}
+    inside = {}
+    for one in streams:
+        for t, x in one:
+            if x and t not in texts and not any(n.junk in ("element", "named") or n.name == "a" for n in x[1]):
+                for n in x[1]:
+                    if P._hash("e", n.path) in frame and n.name in P.BLOCKS:
+                        inside[n.path] = inside.get(n.path, 0) + len(x[0])
+    holding = [p for p in inside if 2 * inside[p] >= max(inside.values())]
+    return texts, max(holding, key=lambda p: p.count("/"))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_templates_equal_a_plain_deduction(spark, seed):
+    r = np.random.default_rng(seed)
+    few = WORDS[:60]
+    says = lambda n: " ".join(r.choice(WORDS, n))
+    menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in few[:5])
+    bodies = []
+    for k in range(9):
+        story = "".join(f"<p>{says(30)}</p>" for _ in range(1 + int(r.integers(1, 5)))) + ("<div class='quote'><b>x</b></div>" if k % 2 else "")
+        side = f"<div class='box'><p>{says(6)}</p></div>" * (k % 3)
+        bodies.append(f"<html><body><div class='top'><ul>{menu}</ul></div><div class='wrap'><div class='story'>{story}</div><div class='tail'><p>Kept by us.</p><p>{says(3)}</p></div></div>{side}</body></html>")
+    texts, region = plain_deduction(bodies)
+    pages = spark.createDataFrame([("h", b) for b in bodies], "site string, html string")
+    found = page_templates.templates(pages).collect()
+    got_region, got_texts, *_ = json.loads(found[0].template)
+    assert len(found) == 1 and got_region == page_templates._hash("e", region) and region.endswith("/div.story")
+    assert set(got_texts) == texts
+    known = page_templates.Template(got_region, frozenset(got_texts), frozenset(), frozenset())
+    for b in bodies:
+        want = [x.split("</p>")[0] for x in b.split("<div class='story'>")[1].split("<div class='tail'>")[0].split("<p>")[1:]] + (["x"] if "quote" in b else [])
+        assert page_templates.extract(b, known) == "\n".join(want)
+
+
 def test_templates_without_an_article(spark):
     rows = [(i, f"http://h.example/{i}", f"<html><body><div><p>Read this first.</p></div><div><p>{good(20)}</p><p>{good(20)}</p></div><div><p>All rights kept.</p></div></body></html>") for i in range(12)]
-    rows += [(100, None, None), (101, "odd", "<p>alone</p>"), (101, "odd", "<p>alone</p>")]
+    rows += [(100, None, None), (101, "odd", "<p>alone</p>"), (102, "odd", "<p>alone</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in page_templates.main_text(pages).collect()}
     for i, _, body in rows[:12]:
         parts = [x.split("</p>")[0] for x in body.split("<p>")[1:]]
         assert got[i] == "\n".join(parts[1:3])
-    assert got[100] == "" and got[101] == "alone"
+    assert got[100] == "" and got[101] == "alone" and got[102] == "alone"
     assert page_templates.main_text(pages).count() == 15 and page_templates.main_text(pages.limit(0)).count() == 0
 
 
