@@ -222,6 +222,11 @@ def test_odd_vectors_and_ties(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     found = {(r.query_id, r.rank): (r.vec_id, round(r.score, 6)) for r in prefix_forest.search(frame, F.col("vec_id") % 50 == 0).collect()}
     assert found == {(0, 1): (1, 1.0), (0, 2): (2, 1.0), (0, 3): (50, 0.0), (50, 1): (0, 0.0), (50, 2): (1, 0.0), (50, 3): (2, 0.0)}
+    far = [(0, [2.0**700, 2.0**700]), (1, [2.0**-700, 2.0**-700]), (2, [2.0**1020, 0.0]), (3, [5e-324, 0.0]), (50, [0.0, 2.0**-1030]), (100, [1.0]), (101, [-2.0]), (102, [3e300])]
+    extremes = spark.createDataFrame(far, "vec_id long, embedding array<double>").withColumns({"d": F.lit(9), "shard": F.lit(1), "v": F.lit(1), "asks": F.lit(0)})
+    found = {(r.query_id, r.rank): (r.vec_id, round(r.score, 6)) for r in prefix_forest.search(extremes, F.col("vec_id") % 50 == 0).collect()}
+    half = round(0.5**0.5, 6)
+    assert found == {(0, 1): (1, 1.0), (0, 2): (2, half), (0, 3): (3, half), (0, 4): (50, half), (50, 1): (0, half), (50, 2): (1, half), (50, 3): (2, 0.0), (50, 4): (3, 0.0), (100, 1): (102, 1.0), (100, 2): (101, -1.0)}
     assert prefix_forest.search(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert prefix_forest.search(frame, F.lit(False)).count() == 0
 
