@@ -118,6 +118,14 @@ def scored(docs: DataFrame, model: object, score: Callable[[list[str], object],
     return of(F.coalesce(docs[text_col].cast("string"), F.lit("")))
 
 
+def unused(taken: list[str], name: str) -> str:
+    """A name that none of these is, in any case."""
+    lower = {c.lower() for c in taken}
+    while name in lower:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echotrace.llm.common import bound_batches, id_and_text, partitions, per_batch, release, table, written
+from echotrace.llm.common import bound_batches, id_and_text, partitions, per_batch, release, table, unused, written
 from echotrace.llm.components import components
 
 RADIUS = 2
@@ -348,7 +348,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "raw")
     rows_of = found.groupBy("root", "doc_id", "raw").agg(F.count("*").alias("n"))
     chosen = rows_of.groupBy("root").agg(F.min_by("n", first).alias("n"), F.min(first).alias("at"))
-    kept_id, kept_raw, kept_n = (_unused(docs, x) for x in ("kept_id", "kept_raw", "kept_n"))
+    kept_id, kept_raw, kept_n = (unused(docs.columns, x) for x in ("kept_id", "kept_raw", "kept_n"))
     kept = written(chosen.select(F.col("at.doc_id").alias(kept_id), F.col("at.raw").alias(kept_raw), F.col("n").alias(kept_n)), "kept")
     same_row = docs[id_col].cast("long").eqNullSafe(kept[kept_id]) & (F.md5(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == kept[kept_raw])
     rows = docs.join(kept.hint("merge"), same_row)  # one plan at every size: the ids grow with the documents
@@ -359,13 +359,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return single.unionByName(rows.where(F.col(kept_n) > 1).withColumn(kept_n, F.row_number().over(numbered)).where(F.col(kept_n) == 1).drop(kept_id, kept_raw, kept_n))
 
 
-def _unused(df: DataFrame, name: str) -> str:
-    """A name that no column of the frame has, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

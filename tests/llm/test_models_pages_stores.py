@@ -251,8 +251,37 @@ def test_shards(spark, tmp_path):
     with pytest.raises(FileExistsError):
         store.commit(last["version"] - 1, [])
     assert store.manifest()["version"] == last["version"] and store.read(last["version"]).count() == 300
-    kept = [json.loads((tmp_path / "s/manifest" / f"v{last['version']:08d}.json").read_text())]
-    assert kept[0] == last
+    kept = json.loads((tmp_path / "s/manifest" / f"v{last['version']:08d}.json").read_text())
+    assert kept["version"] == last["version"] and [x for p in kept["parts"] for x in json.loads((tmp_path / "s/manifest" / p).read_text())["shards"]] == last["shards"]
+    assert {x["file"].rsplit("/", 1)[-1] for x in last["shards"]} <= {f.name for f in (tmp_path / "s/data").rglob("*.parquet")}
+
+
+def test_columns_of_any_name_and_two_writers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "PART_SHARDS", 2)
+    store, other = (shards.ShardStore(spark, f"file://{tmp_path}/n", target=1 << 20, fan=3) for _ in range(2))
+    rows = spark.createDataFrame([(i, "n", 7, i % 2, None, "f") for i in range(60)], "doc_id long, name string, shard int, position int, arrival int, file_name string")
+    merge, met = shards._merge, []
+
+    def late(*args):  # another writer commits while this one merges
+        out = merge(*args)
+        if not met:
+            met.append(other._add(other._listed(extra)))
+        return out
+
+    extra = f"file://{tmp_path}/n/data/extra"
+    rows.where("doc_id >= 50").coalesce(1).write.parquet(extra)
+    monkeypatch.setattr(shards, "_merge", late)
+    for k in range(4):
+        store.append(rows.where((F.col("doc_id") < 40) & (F.col("doc_id") % 4 == k)).coalesce(1))
+    store.append(rows.where((F.col("doc_id") >= 40) & (F.col("doc_id") < 50)), by=F.col("doc_id") % 2)
+    with pytest.raises(ValueError):
+        store.read()
+    got = store.read(shard="s", position="p")
+    assert met and got.drop("s", "p").schema == rows.schema and sorted(map(tuple, got.drop("s", "p").collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert got.select("s", "p").distinct().count() == 60 and len(store._parts(store.manifest()["version"])) >= 1
+    stale = other.manifest()["version"] - 1
+    with pytest.raises(FileExistsError):
+        other.commit(stale, [])
 
 
 def test_sizes_make_tiers(spark, tmp_path):
