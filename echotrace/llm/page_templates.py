@@ -316,8 +316,8 @@ def extract(page: str, template: Template = EMPTY) -> str:
 
 def sites(pages: DataFrame) -> DataFrame:
     """pages (host, html) with site: the host, or "" for hosts with fewer than PAGES different pages."""
-    # the number of different pages, without gathering them: up to PAGES hashes from either end tell fewer than PAGES from more
-    few = pages.groupBy("host", F.xxhash64("html").alias("page")).agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") < PAGES).select("host", F.lit(True).alias("few"))
+    different = pages.groupBy("host", F.xxhash64("html").alias("page")).agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n"))
+    few = written(different.where(F.col("n") < PAGES).select("host", F.lit(True).alias("few")), "hosts")  # its size is known where it is joined
     return pages.join(few, "host", "left").withColumn("site", F.when(F.col("few"), "").otherwise(F.col("host"))).drop("few")
 
 

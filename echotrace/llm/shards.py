@@ -210,7 +210,7 @@ class ShardStore:
         name = unused([*rows.columns, shard, position], "file_name")
         numbers = self.spark.createDataFrame([(f.rsplit("/", 1)[-1], i) for i, f in enumerate(files)], f"{name} string, {shard} int")
         rows = rows.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias(name), F.col("_metadata.row_index").alias(position))
-        return rows.join(numbers, name).drop(name)  # a row a shard; broadcast where it is small
+        return rows.join(F.broadcast(numbers), name).drop(name)  # a row a shard, of the list that the driver holds
 
 
 def _merge(spark: SparkSession, runs: list[list[str]], folder: str) -> list[tuple[int, dict]]:
