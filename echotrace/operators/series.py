@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echotrace.functions.expr import DERIVED_HEADER, all_close, close, column_letter, informative, median, risk_for_run, target_for
+from echotrace.functions.expr import DERIVED_HEADER, close, column_letter, informative, risk_for_run
 from echotrace.model import ALL_PAIRS, BUCKET_LIMIT, Settings
 
 KEY = ("source_path", "sheet", "column", "header_row")
@@ -75,29 +77,34 @@ def _signed(shape: Column) -> Column:
     return F.when(lead < 0, F.transform(shape, lambda x: -x)).otherwise(shape)
 
 
-def _paired(series: DataFrame, shaped: DataFrame, keys: Column, limit: int | None) -> DataFrame:
-    """first, second of equal length: all pairs where a length has few series, else those that share a key of `keys` (an array over shaped)."""
-    whole = F.struct(*series.columns)
+def _pair_ids(series: DataFrame, shaped: DataFrame, keys: Column, limit: int | None) -> DataFrame:
+    """first_id, second_id of equal length: all pairs where a length has few series, else those that share a key of `keys` (an array over shaped)."""
     counts = series.groupBy("n").agg(F.count("*").alias("of_length"))
-    few = series.join(F.broadcast(counts.where(F.col("of_length") <= ALL_PAIRS)), "n").select("n", whole.alias("s"))  # one row a length
-    small = few.select("n", F.col("s").alias("first")).join(few.select("n", F.col("s").alias("second")), "n").where("first.series_id < second.series_id")
-    many = shaped.join(F.broadcast(counts.where(F.col("of_length") > ALL_PAIRS)), "n").select("n", F.col("series_id").alias("id"), F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).alias("key"))
+    few = series.join(F.broadcast(counts.where(F.col("of_length") <= ALL_PAIRS)), "n").select("n", F.col("series_id").alias("first_id"))  # one row a length
+    small = few.join(few.withColumnRenamed("first_id", "second_id"), "n").where("first_id < second_id").select("first_id", "second_id")
+    many = shaped.join(F.broadcast(counts.where(F.col("of_length") > ALL_PAIRS)), "n").select("n", F.col("series_id").alias("first_id"), F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).alias("key"))
+    many = many.withColumn("key", F.md5("key"))  # a key is as long as its series
     if limit:
-        many = many.withColumn("r", F.row_number().over(Window.partitionBy("n", "key").orderBy("id"))).where(F.col("r") <= limit).drop("r")
-    near = many.join(many.withColumnRenamed("id", "id2"), ["n", "key"]).where("id < id2").select("id", "id2").distinct()
-    side = lambda i, name: series.select(F.col("series_id").alias(i), whole.alias(name))
-    large = near.join(side("id", "first"), "id").join(side("id2", "second"), "id2")
-    return small.select("first", "second").unionByName(large.select("first", "second"))
+        many = many.withColumn("r", F.row_number().over(Window.partitionBy("n", "key").orderBy("first_id"))).where(F.col("r") <= limit).drop("r")
+    near = many.join(many.withColumnRenamed("first_id", "second_id"), ["n", "key"]).where("first_id < second_id").select("first_id", "second_id")
+    return small.unionByName(near.distinct())
+
+
+def with_series(pairs: DataFrame, series: DataFrame) -> DataFrame:
+    """Pairs of ids with first and second, the series themselves."""
+    whole = F.struct(*series.columns)
+    side = lambda name: series.select(F.col("series_id").alias(f"{name}_id"), whole.alias(name))
+    return pairs.join(side("first"), "first_id").join(side("second"), "second_id").drop("first_id", "second_id")
 
 
 def relation_pairs(series: DataFrame) -> DataFrame:
     shaped = _with_shapes(series, 10_000, logs=True)
     keys = F.array(F.concat(F.lit("linear:"), _signed(F.col("shape")).cast("string")), F.concat(F.lit("log:"), _signed(F.col("log_shape")).cast("string")))
-    return _paired(series, shaped, keys, None)
+    return _pair_ids(series, shaped, keys, None)
 
 
 def pattern_pairs(series: DataFrame) -> DataFrame:
-    return without_derived(_paired(series, _with_shapes(series, 100, 16), F.array(F.col("shape").cast("string")), BUCKET_LIMIT))
+    return without_derived(with_series(_pair_ids(series, _with_shapes(series, 100, 16), F.array(F.col("shape").cast("string")), BUCKET_LIMIT), series))
 
 
 _REFERENCE = re.compile(r"(?:(?:'[^']*'|[A-Za-z0-9_.]+)!)?\$?([A-Za-z]{1,3})\$?([0-9]{1,7})(?::\$?([A-Za-z]{1,3})\$?([0-9]{1,7}))?")
@@ -148,31 +155,107 @@ def without_derived(pairs: DataFrame) -> DataFrame:
     return derived(pairs).where("derived_side is null").drop("derived_side", "derived_by")
 
 
-def relations(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+class _Relations:
+    """The relations of many pairs of series of one length at once: arrays with a row a pair."""
+
+    def __init__(self, settings: Settings) -> None:
+        self.least, self.share, self.targets = settings.absolute_tolerance, settings.relative_tolerance, settings.operation_targets
+
+    def close(self, x: np.ndarray, y: np.ndarray | float) -> np.ndarray:
+        return np.abs(x - y) <= self.least + self.share * np.maximum(np.abs(x), np.abs(y))
+
+    def narrow(self, values: np.ndarray, size: np.ndarray, least: np.ndarray | float | None = None) -> np.ndarray:
+        """False where the values lie too far apart to be close to any one number: cheap, and right for any tolerance up to a half."""
+        if self.share > 0.5:
+            return np.ones(len(values), bool)
+        spread = values.max(1) - values.min(1)
+        return ~(spread > 6 * (self.least if least is None else least) + 6 * self.share * size)  # what has no number stays
+
+    def target(self, values: np.ndarray) -> np.ndarray:
+        """The first target that all of a row's values are close to: the configured ones in order, then the integer nearest to their median; else no number."""
+        out = np.full(len(values), np.nan)
+        rows = np.flatnonzero(self.narrow(values, np.abs(values).max(1)))
+        some = values[rows]
+        for t in (*self.targets, None):
+            if not len(rows):
+                break
+            at = np.rint(np.median(some, axis=1)) if t is None else np.full(len(rows), t)
+            hit = self.close(some, at[:, None]).all(1)
+            out[rows[hit]] = at[hit]
+            rows, some = rows[~hit], some[~hit]
+        return out
+
+    def found(self, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> dict[str, np.ndarray]:
+        """The parameter of each rule that holds; no number where it doesn't."""
+        nothing, (big_a, big_b) = np.full(len(a), np.nan), (np.abs(x).max(1) for x in (a, b))
+        scale, offset = nothing.copy(), nothing.copy()
+        zeros = (a == 0).any(1)
+        ratio = np.divide(b, a, out=np.full(a.shape, np.nan), where=a != 0)
+        smallest = np.abs(np.where(a == 0, np.inf, a)).min(1)
+        rows = np.flatnonzero(~same & (zeros | self.narrow(ratio, np.abs(ratio).max(1), self.least / smallest)))
+        rows = rows[np.isfinite(smallest[rows])]
+        if len(rows):
+            f = np.where(zeros[rows], np.nanmedian(ratio[rows], axis=1), np.median(ratio[rows], axis=1))
+            hit = self.close(b[rows], f[:, None] * a[rows]).all(1) & ~self.close(f, 1.0)
+            scale[rows[hit]] = f[hit]
+        apart = b - a
+        rows = np.flatnonzero(~same & self.narrow(apart, 2 * (big_a + big_b)))
+        if len(rows):
+            f = np.median(apart[rows], axis=1)
+            hit = self.close(b[rows], a[rows] + f[:, None]).all(1) & ~self.close(f, 0.0)
+            offset[rows[hit]] = f[hit]
+        product = self.target(a * b)
+        product[product == 0] = np.nan
+        difference, quotient = nothing.copy(), nothing.copy()
+        difference[~same] = self.target((a - b)[~same])
+        whole = ~same & (b != 0).all(1)
+        quotient[whole] = self.target(a[whole] / b[whole])
+        names = ("exact", "scale", "offset", "target_sum", "target_product", "target_difference", "target_quotient")
+        return dict(zip(names, (np.where(same, 1.0, np.nan), scale, offset, self.target(a + b), product, difference, quotient)))
+
+
+def _related(pairs: DataFrame, settings: Settings) -> DataFrame:
+    """first_id, second_id, a, b (values of one length), same to first_id, second_id, rule_id, parameter: a row for each relation."""
+    schema = pa.schema([("first_id", pa.string()), ("second_id", pa.string()), ("rule_id", pa.string()), ("parameter", pa.float64())])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = _Relations(settings)
+        for batch in batches:
+            lists = [batch.column(c) for c in "ab"]
+            sizes, same = lists[0].value_lengths().to_numpy(), batch.column("same").to_numpy(zero_copy_only=False)
+            starts, (a, b) = np.cumsum(sizes) - sizes, (x.flatten().to_numpy() for x in lists)
+            for n in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == n)
+                for at in range(0, len(rows), max(1, NUMBERS // n)):
+                    some = rows[at : at + max(1, NUMBERS // n)]
+                    cells = starts[some][:, None] + np.arange(n)
+                    with np.errstate(all="ignore"):
+                        found = rules.found(a[cells], b[cells], same[some])
+                    for rule, parameter in found.items():
+                        hit = np.flatnonzero(~np.isnan(parameter))
+                        if len(hit):
+                            at_ = pa.array(some[hit])
+                            yield pa.RecordBatch.from_arrays([batch.column("first_id").take(at_), batch.column("second_id").take(at_), pa.array([f"excel.series.{rule}"] * len(hit)), pa.array(parameter[hit])], schema=schema)
+
+    return pairs.mapInArrow(of, "first_id string, second_id string, rule_id string, parameter double")
+
+
+#: Numbers of each side that are held at a time while pairs are compared.
+NUMBERS = 1 << 17
+
+
+def relations(series: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """first, second, rule_id, parameter, matched_count, risk: how one series follows from the other, one row for each relation.
 
-    A derived pair with a relation gives one excel.series.normal_derived row in their place.
+    A derived pair with a relation gives one excel.series.normal_derived row in their place. Pairs meet by their values alone; the series
+    themselves join those that are related.
     """
-    a, b = F.col("first.vals"), F.col("second.vals")
-    sound = pairs.where(informative(a, F.lit(0.0)) & informative(b, F.lit(0.0)))
-    same = F.col("first.canon") == F.col("second.canon")
-    some = F.filter(F.zip_with(a, b, lambda x, y: F.when(x != 0, y / x)), lambda r: r.isNotNull())
-    lists = {"sums": F.zip_with(a, b, lambda x, y: x + y), "products": F.zip_with(a, b, lambda x, y: x * y), "differences": F.zip_with(a, b, lambda x, y: x - y), "quotients": F.zip_with(a, b, lambda x, y: F.try_divide(x, y))}
-    with_lists = pin(derived(sound), {"same": same, "factor": median(some), "offset": median(F.zip_with(a, b, lambda x, y: y - x)), **lists})
-    with_base = pin(with_lists, {f"{k}_target": target_for(F.col(k), settings) for k in lists})
-    scale_ok = F.forall(F.zip_with(a, b, lambda x, y: close(y, F.col("factor") * x, settings)), lambda x: x) & ~close(F.col("factor"), F.lit(1.0), settings)
-    offset_ok = F.forall(F.zip_with(a, b, lambda x, y: close(y, x + F.col("offset"), settings)), lambda x: x) & ~close(F.col("offset"), F.lit(0.0), settings)
-    found = {
-        "excel.series.exact": F.when(F.col("same"), F.lit(1.0)),
-        "excel.series.scale": F.when(~F.col("same") & scale_ok, F.col("factor")),
-        "excel.series.offset": F.when(~F.col("same") & offset_ok, F.col("offset")),
-        "excel.series.target_sum": F.col("sums_target"),
-        "excel.series.target_product": F.when(F.col("products_target") != 0, F.col("products_target")),
-        "excel.series.target_difference": F.when(~F.col("same"), F.col("differences_target")),
-        "excel.series.target_quotient": F.when(~F.col("same") & F.forall(b, lambda y: y != 0), F.col("quotients_target")),
-    }
-    rows = F.filter(F.array(*(F.struct(F.lit(k).alias("rule_id"), v.alias("parameter")) for k, v in found.items())), lambda r: r.parameter.isNotNull())
-    related = with_base.withColumn("found", rows).where(F.size("found") > 0)
+    sound = series.where(informative(F.col("vals"), F.lit(0.0)))
+    side = lambda i, v, h: sound.select(F.col("series_id").alias(i), F.col("vals").alias(v), F.xxhash64("canon").alias(h))
+    pairs = relation_pairs(sound).join(side("first_id", "a", "h"), "first_id").join(side("second_id", "b", "h2"), "second_id")
+    found = _related(pairs.select("first_id", "second_id", "a", "b", ((F.col("h") == F.col("h2")) & (F.col("a") == F.col("b"))).alias("same")), settings)
+    by_pair = found.groupBy("first_id", "second_id").agg(F.collect_list(F.struct("rule_id", "parameter")).alias("found"))  # seven at most
+    related = derived(with_series(by_pair, series))
     normal = F.array(F.struct(F.lit("excel.series.normal_derived").alias("rule_id"), F.lit(None).cast("double").alias("parameter")))
     out = related.withColumn("r", F.explode(F.when(F.col("derived_side").isNotNull(), normal).otherwise(F.col("found"))))
     risk = F.when(F.col("r.rule_id") == "excel.series.normal_derived", "low").otherwise(risk_for_run(F.col("first.n"), settings))

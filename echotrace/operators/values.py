@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,19 +90,21 @@ def approximate_clusters(cells: DataFrame, settings: Settings = Settings()) -> D
     islands = within.join(F.broadcast(carried), ["sign", "band", "place"]).withColumn("island", F.coalesce("island", "island_before"))
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
-        values, tolerance, out, i = sorted(part["m"]), part["tolerance"].iloc[0], [], 0
+        values, tolerance, out, i = np.sort(part["m"].to_numpy()), part["tolerance"].iloc[0], [], 0
+        ends = np.searchsorted(values, values / (1 - tolerance) if tolerance < 1 else np.full(len(values), np.inf), "right").tolist()
         while i < len(values):
-            j = i + 1
-            while j < len(values) and (tolerance >= 1 or values[j] <= values[i] / (1 - tolerance)):
-                j += 1
+            j = max(ends[i], i + 1)
             if j - i >= 2:
                 out.append((part["band"].iloc[0], int(part["sign"].iloc[0]), values[i], values[j - 1], j - i))
             i = j
         return pd.DataFrame(out, columns=["band", "sign", "anchor", "last", "distinct_values"])
 
-    several = F.count("*").over(Window.partitionBy("sign", "band", "island"))  # dealt like the groups below; a lone value is no cluster
-    islands = islands.withColumn("n", several).where("n >= 2")
-    found = islands.groupBy("sign", "band", "island").applyInPandas(walk, "band string, sign int, anchor double, last double, distinct_values long")
+    island = Window.partitionBy("sign", "band", "island")  # dealt like the groups below; a lone value is no cluster
+    islands = islands.withColumns({"n": F.count("*").over(island), "top": F.max("m").over(island)}).where("n >= 2")
+    one = (F.col("tolerance") >= 1) | (F.col("top") <= F.col("island") / (1 - F.col("tolerance")))  # an island is named by its smallest value
+    simple = islands.where(one & (F.col("m") == F.col("island"))).select("band", "sign", F.col("m").alias("anchor"), F.col("top").alias("last"), F.col("n").alias("distinct_values"))
+    found = islands.where(~one).groupBy("sign", "band", "island").applyInPandas(walk, "band string, sign int, anchor double, last double, distinct_values long")
+    found = simple.unionByName(found)
     near_zero = numbers.where(F.abs("v") <= settings.absolute_tolerance).agg(F.min("v").alias("anchor"), F.max("v").alias("last"), F.count("*").alias("distinct_values")).where("distinct_values >= 2 and last <= anchor + %r" % settings.absolute_tolerance)
     strict = F.row_number().over(Window.partitionBy("sign", "anchor", "last", "distinct_values").orderBy(F.array_position(F.array(*(F.lit(x) for _, x in bands)), F.col("band"))))
     found = found.withColumn("r", strict).where("r = 1").drop("r")

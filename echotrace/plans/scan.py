@@ -57,7 +57,7 @@ def data_findings(cells: DataFrame, settings: Settings = Settings()) -> DataFram
     out.append(_finding(ops, "excel.cell.target_operation", "suspected_reuse", "low", "operation gives a target", F.array(at(F.col("p")), at(F.col("q"))), F.lit(0.55), F.struct("operation", F.col("target").alias("parameter"), F.col("result").alias("relation_result")), F.lit(1), F.lit(2)))
     lines = series.build(series.drop_index_columns(cells), settings.medium_run_length)
     distinct = F.size(F.array_union("first.canon", "second.canon"))
-    rel = series.relations(series.relation_pairs(lines), settings)
+    rel = series.relations(lines, settings)
     normal = F.col("rule_id") == "excel.series.normal_derived"
     out.append(_pairs(rel, F.col("rule_id"), F.when(normal, "normal_relation").when(F.col("rule_id") == "excel.series.exact", "exact_duplicate").otherwise("suspected_reuse"), "related series", F.when(normal & (F.col("derived_by") == "formula"), 0.98).when(normal, 0.9).when(F.col("risk") == "high", 0.92).otherwise(0.82), {"parameter": F.col("parameter"), "matched_count": F.col("matched_count"), "derived_side": F.col("derived_side")}, distinct))
     out.append(_pairs(series.shuffled(lines, settings), "excel.series.shuffled", "suspected_reuse", "reordered series", F.lit(0.9), {"matched_count": F.col("matched_count"), "order_changed_count": F.col("order_changed_count")}, distinct))

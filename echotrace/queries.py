@@ -164,7 +164,7 @@ def _named(df: DataFrame) -> list:
 
 def _relation(rule: str) -> None:
     def f(spark: SparkSession, sf: str) -> DataFrame:
-        found = series.relations(series.relation_pairs(_lines(spark, sf)), SETTINGS).where(F.col("rule_id") == f"excel.series.{rule}")
+        found = series.relations(_lines(spark, sf), SETTINGS).where(F.col("rule_id") == f"excel.series.{rule}")
         return found.select(*_named(found), F.round("parameter", 6).alias("parameter"), F.col("matched_count").cast("long").alias("matched_count"), "risk")
 
     f.__name__ = f"series_{rule}"

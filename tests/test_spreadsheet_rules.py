@@ -24,7 +24,7 @@ def cells(spark, *columns, header=True, sheet="S", path="f", formulas=None, head
 
 def relation(spark, first, second, settings=Settings(), **kw):
     lines = series.build(cells(spark, first, second, **kw), settings.medium_run_length)
-    return {r.rule_id.removeprefix("excel.series."): r for r in series.relations(series.relation_pairs(lines), settings).collect()}
+    return {r.rule_id.removeprefix("excel.series."): r for r in series.relations(lines, settings).collect()}
 
 
 def test_settings_are_checked():
@@ -111,7 +111,7 @@ def test_many_series_meet_by_shape(spark):
     from echotrace.model import CELLS
 
     lines = series.build(spark.createDataFrame(rows, CELLS), 3)
-    found = series.relations(series.relation_pairs(lines)).where("rule_id = 'excel.series.scale' and second.sheet = 's259'").collect()
+    found = series.relations(lines).where("rule_id = 'excel.series.scale' and second.sheet = 's259'").collect()
     assert any(r.first.sheet == "s000" and r.parameter == pytest.approx(3) for r in found)
 
 
