@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,28 +90,41 @@ def approximate_clusters(cells: DataFrame, settings: Settings = Settings()) -> D
     carried = carried.withColumn("island_before", F.last("last_start", ignorenulls=True).over(Window.partitionBy("sign", "band").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))).select("sign", "band", "place", "island_before")
     islands = within.join(F.broadcast(carried), ["sign", "band", "place"]).withColumn("island", F.coalesce("island", "island_before"))
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        values, tolerance, out, i = np.sort(part["m"].to_numpy()), part["tolerance"].iloc[0], [], 0
-        ends = np.searchsorted(values, values / (1 - tolerance) if tolerance < 1 else np.full(len(values), np.inf), "right").tolist()
-        while i < len(values):
-            j = max(ends[i], i + 1)
-            if j - i >= 2:
-                out.append((part["band"].iloc[0], int(part["sign"].iloc[0]), values[i], values[j - 1], j - i))
-            i = j
-        return pd.DataFrame(out, columns=["band", "sign", "anchor", "last", "distinct_values"])
-
-    island = Window.partitionBy("sign", "band", "island")  # dealt like the groups below; a lone value is no cluster
-    islands = islands.withColumns({"n": F.count("*").over(island), "top": F.max("m").over(island)}).where("n >= 2")
-    one = (F.col("tolerance") >= 1) | (F.col("top") <= F.col("island") / (1 - F.col("tolerance")))  # an island is named by its smallest value
-    simple = islands.where(one & (F.col("m") == F.col("island"))).select("band", "sign", F.col("m").alias("anchor"), F.col("top").alias("last"), F.col("n").alias("distinct_values"))
-    found = islands.where(~one).groupBy("sign", "band", "island").applyInPandas(walk, "band string, sign int, anchor double, last double, distinct_values long")
-    found = simple.unionByName(found)
+    island = Window.partitionBy("sign", "band", "island")
+    islands = islands.withColumn("n", F.count("*").over(island)).where("n >= 2")  # a lone value is no cluster
+    # the window has put an island's rows into one task
+    ordered = islands.select("sign", "band", "island", "m", "tolerance").sortWithinPartitions("sign", "band", "island", "m")
+    found = ordered.mapInArrow(_clusters, "band string, sign int, anchor double, last double, distinct_values long")
     near_zero = numbers.where(F.abs("v") <= settings.absolute_tolerance).agg(F.min("v").alias("anchor"), F.max("v").alias("last"), F.count("*").alias("distinct_values")).where("distinct_values >= 2 and last <= anchor + %r" % settings.absolute_tolerance)
     strict = F.row_number().over(Window.partitionBy("sign", "anchor", "last", "distinct_values").orderBy(F.array_position(F.array(*(F.lit(x) for _, x in bands)), F.col("band"))))
     found = found.withColumn("r", strict).where("r = 1").drop("r")
     return found.unionByName(near_zero.select(F.lit("absolute").alias("band"), F.lit(0).alias("sign"), "anchor", "last", "distinct_values"))
 
 
+def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clusters of sorted islands in one pass; nothing but the open cluster is held."""
+    key, band, sign, anchor, end, last, n = None, "", 0, 0.0, 0.0, 0.0, 0
+    for batch in batches:
+        out: list[tuple] = []
+        for s, b, i, m, t in zip(*(batch.column(c).to_pylist() for c in ("sign", "band", "island", "m", "tolerance"))):
+            if (s, b, i) == key and m <= end:
+                last, n = m, n + 1
+                continue
+            if n >= 2:
+                out.append((band, sign, anchor, last, n))
+            key, band, sign, anchor, last, n = (s, b, i), b, s, m, m, 1
+            end = m / (1 - t) if t < 1 else float("inf")
+        if out:
+            yield _cluster_rows(out)
+    if n >= 2:
+        yield _cluster_rows([(band, sign, anchor, last, n)])
+
+
+def _cluster_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["band", "sign", "anchor", "last", "distinct_values"])
+
+
 def _cuts(rows: DataFrame, column: str) -> list[float]:
     """Ascending bounds that deal a column into as many ranges of like size as there are shuffle partitions."""
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
