@@ -215,8 +215,8 @@ class _Relations:
 
 
 def _related(pairs: DataFrame, settings: Settings) -> DataFrame:
-    """first_id, second_id, a, b (values of one length), same to first_id, second_id, rule_id, parameter: a row for each relation."""
-    schema = pa.schema([("first_id", pa.string()), ("second_id", pa.string()), ("rule_id", pa.string()), ("parameter", pa.float64())])
+    """first_id, second_id, a, b (values of one length), same to first_id, second_id, rule_id, parameter, leading: a row for each relation; the first of a pair leads."""
+    schema = pa.schema([("first_id", pa.string()), ("second_id", pa.string()), ("rule_id", pa.string()), ("parameter", pa.float64()), ("leading", pa.bool_())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = _Relations(settings)
@@ -231,13 +231,16 @@ def _related(pairs: DataFrame, settings: Settings) -> DataFrame:
                     cells = starts[some][:, None] + np.arange(n)
                     with np.errstate(all="ignore"):
                         found = rules.found(a[cells], b[cells], same[some])
+                    met = np.zeros(len(some), bool)
                     for rule, parameter in found.items():
                         hit = np.flatnonzero(~np.isnan(parameter))
                         if len(hit):
-                            at_ = pa.array(some[hit])
-                            yield pa.RecordBatch.from_arrays([batch.column("first_id").take(at_), batch.column("second_id").take(at_), pa.array([f"excel.series.{rule}"] * len(hit)), pa.array(parameter[hit])], schema=schema)
+                            place = pa.array(some[hit])
+                            named = pa.array([f"excel.series.{rule}"] * len(hit))
+                            yield pa.RecordBatch.from_arrays([batch.column("first_id").take(place), batch.column("second_id").take(place), named, pa.array(parameter[hit]), pa.array(~met[hit])], schema=schema)
+                            met[hit] = True
 
-    return pairs.mapInArrow(of, "first_id string, second_id string, rule_id string, parameter double")
+    return pairs.mapInArrow(of, "first_id string, second_id string, rule_id string, parameter double, leading boolean")
 
 
 #: Numbers of each side that are held at a time while pairs are compared.
@@ -254,12 +257,11 @@ def relations(series: DataFrame, settings: Settings = Settings()) -> DataFrame:
     side = lambda i, v, h: sound.select(F.col("series_id").alias(i), F.col("vals").alias(v), F.xxhash64("canon").alias(h))
     pairs = relation_pairs(sound).join(side("first_id", "a", "h"), "first_id").join(side("second_id", "b", "h2"), "second_id")
     found = _related(pairs.select("first_id", "second_id", "a", "b", ((F.col("h") == F.col("h2")) & (F.col("a") == F.col("b"))).alias("same")), settings)
-    by_pair = found.groupBy("first_id", "second_id").agg(F.collect_list(F.struct("rule_id", "parameter")).alias("found"))  # seven at most
-    related = derived(with_series(by_pair, series))
-    normal = F.array(F.struct(F.lit("excel.series.normal_derived").alias("rule_id"), F.lit(None).cast("double").alias("parameter")))
-    out = related.withColumn("r", F.explode(F.when(F.col("derived_side").isNotNull(), normal).otherwise(F.col("found"))))
-    risk = F.when(F.col("r.rule_id") == "excel.series.normal_derived", "low").otherwise(risk_for_run(F.col("first.n"), settings))
-    return out.select("first", "second", F.col("r.rule_id").alias("rule_id"), F.col("r.parameter").alias("parameter"), F.col("first.n").alias("matched_count"), risk.alias("risk"), "derived_side", "derived_by")
+    related = derived(with_series(found, series)).where("derived_side is null or leading")
+    normal = F.col("derived_side").isNotNull()
+    rule, parameter = F.when(normal, "excel.series.normal_derived").otherwise(F.col("rule_id")), F.when(~normal, F.col("parameter"))
+    risk = F.when(normal, "low").otherwise(risk_for_run(F.col("first.n"), settings))
+    return related.select("first", "second", rule.alias("rule_id"), parameter.alias("parameter"), F.col("first.n").alias("matched_count"), risk.alias("risk"), "derived_side", "derived_by")
 
 
 def shuffled(series: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -42,9 +42,10 @@ def grams(values: DataFrame, least: int, most: int = 8, column: str = "canonical
     return values.select(column, digits(column).alias("d")).where(F.length("d") >= least).select(column, F.explode(runs).alias("r")).select(column, "r.n", "r.gram")
 
 
-def digit_fragments(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """set_id, distinct_values, maximum_length, fragment_count, first_fragment, cell_count: sets of different values that share runs of digits.
+def digit_sets(cells: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Sets of different values that share runs of digits, and their members (set_id, canonical_value).
 
+    The sets: set_id, distinct_values, cell_count, maximum_length, runs, least_value, greatest_value.
     A gram's posting list is a set of values; equal sets meet by a sum of value hashes, so no list is gathered to compare them.
     The longest common runs of a set are the longest grams that all of its values have.
     """
@@ -62,20 +63,30 @@ def digit_fragments(cells: DataFrame, settings: Settings = Settings()) -> DataFr
     found = shared.groupBy("set_id").agg(F.max(F.length("run")).alias("maximum_length"), F.collect_list("run").alias("runs"))
     found = found.withColumn("runs", F.array_sort(F.filter("runs", lambda r: F.length(r) == F.col("maximum_length"))))
     size = members.join(counted, "canonical_value").groupBy("set_id").agg(F.count("*").alias("distinct_values"), F.sum("cells").alias("cell_count"), F.min("canonical_value").alias("least_value"), F.max("canonical_value").alias("greatest_value"))
-    return found.join(size, "set_id").select("set_id", "distinct_values", "cell_count", "maximum_length", F.size("runs").alias("fragment_count"), F.try_element_at("runs", F.lit(1)).alias("first_fragment"), "least_value", "greatest_value")
+    return found.join(size, "set_id"), members.select("set_id", "canonical_value")
 
 
-def approximate_clusters(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """band, sign, anchor, last, distinct_values: greedy clusters of different values, from each sign's smallest magnitude upwards.
+def digit_fragments(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """set_id, distinct_values, cell_count, maximum_length, fragment_count, first_fragment, least_value, greatest_value of each set."""
+    found, _ = digit_sets(cells, settings)
+    return found.select("set_id", "distinct_values", "cell_count", "maximum_length", F.size("runs").alias("fragment_count"), F.try_element_at("runs", F.lit(1)).alias("first_fragment"), "least_value", "greatest_value")
+
+
+def _bands(settings: Settings) -> list[tuple[float, str]]:
+    bands = [(t, label) for t, label, _ in BANDS]
+    if settings.custom_relative > 0 and settings.custom_relative not in {t for t, _ in bands}:
+        bands.append((settings.custom_relative, f"custom {settings.custom_relative_tolerance_percent:g}%"))
+    return bands
+
+
+def _islands(numbers: DataFrame, settings: Settings) -> DataFrame:
+    """sign, band, island, m, tolerance: magnitudes in the order of their islands, without lone ones.
 
     A cluster reaches from its anchor to anchor / (1 - tolerance), and the next one starts behind it. No cluster crosses a
     gap wider than the tolerance, so the values are first cut at such gaps, and each island is walked by itself.
     """
-    numbers = cells.select(F.col("canonical_value").cast("double").alias("v")).distinct()
     signed = numbers.where("v <> 0").select(F.when(F.col("v") > 0, 1).otherwise(-1).alias("sign"), F.abs("v").alias("m"))
-    bands = [(t, label) for t, label, _ in BANDS]
-    if settings.custom_relative > 0 and settings.custom_relative not in {t for t, _ in bands}:
-        bands.append((settings.custom_relative, f"custom {settings.custom_relative_tolerance_percent:g}%"))
+    bands = _bands(settings)
     each = signed.select("sign", "m", F.explode(F.array(*(F.struct(F.lit(t).alias("tolerance"), F.lit(x).alias("band")) for t, x in bands))).alias("b")).select("sign", "m", "b.tolerance", "b.band")
     # neighbours: within a range of like size by a window, across ranges by their ends, which are few
     inner = each.withColumn("place", _range_of(F.col("m"), _cuts(signed, "m")))
@@ -93,12 +104,44 @@ def approximate_clusters(cells: DataFrame, settings: Settings = Settings()) -> D
     island = Window.partitionBy("sign", "band", "island")
     islands = islands.withColumn("n", F.count("*").over(island)).where("n >= 2")  # a lone value is no cluster
     # the window has put an island's rows into one task
-    ordered = islands.select("sign", "band", "island", "m", "tolerance").sortWithinPartitions("sign", "band", "island", "m")
-    found = ordered.mapInArrow(_clusters, "band string, sign int, anchor double, last double, distinct_values long")
+    return islands.select("sign", "band", "island", "m", "tolerance").sortWithinPartitions("sign", "band", "island", "m")
+
+
+def _strictest(found: DataFrame, settings: Settings) -> DataFrame:
+    """A cluster that several bands give, under the first of them."""
+    order = F.array_position(F.array(*(F.lit(x) for _, x in _bands(settings))), F.col("band"))
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("sign", "anchor", "last", "distinct_values").orderBy(order))).where("r = 1").drop("r")
+
+
+def approximate_clusters(cells: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """band, sign, anchor, last, distinct_values: greedy clusters of different values, from each sign's smallest magnitude upwards."""
+    numbers = cells.select(F.col("canonical_value").cast("double").alias("v")).distinct()
+    found = _islands(numbers, settings).mapInArrow(_clusters, "band string, sign int, anchor double, last double, distinct_values long")
     near_zero = numbers.where(F.abs("v") <= settings.absolute_tolerance).agg(F.min("v").alias("anchor"), F.max("v").alias("last"), F.count("*").alias("distinct_values")).where("distinct_values >= 2 and last <= anchor + %r" % settings.absolute_tolerance)
-    strict = F.row_number().over(Window.partitionBy("sign", "anchor", "last", "distinct_values").orderBy(F.array_position(F.array(*(F.lit(x) for _, x in bands)), F.col("band"))))
-    found = found.withColumn("r", strict).where("r = 1").drop("r")
-    return found.unionByName(near_zero.select(F.lit("absolute").alias("band"), F.lit(0).alias("sign"), "anchor", "last", "distinct_values"))
+    return _strictest(found, settings).unionByName(near_zero.select(F.lit("absolute").alias("band"), F.lit(0).alias("sign"), "anchor", "last", "distinct_values"))
+
+
+def approximate_members(cells: DataFrame, clusters: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The clusters (some of approximate_clusters) with v, one row for each of their values."""
+    numbers = cells.select(F.col("canonical_value").cast("double").alias("v")).distinct()
+    placed = _islands(numbers, settings).mapInArrow(_members, "band string, sign int, anchor double, v double")
+    near_zero = numbers.where(F.abs("v") <= settings.absolute_tolerance).select(F.lit("absolute").alias("band"), F.lit(0).alias("sign"), F.lit(None).cast("double").alias("anchor"), "v")
+    same = [clusters.band == F.col("p.band"), clusters.sign == F.col("p.sign"), (F.col("p.sign") == 0) | (clusters.anchor == F.col("p.anchor"))]
+    return clusters.join(placed.unionByName(near_zero).alias("p"), same).select(*(clusters[c] for c in clusters.columns), F.col("p.v").alias("v"))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each value with the anchor that it goes with."""
+    key, anchor, end = None, 0.0, 0.0
+    for batch in batches:
+        out: list[tuple] = []
+        for s, b, i, m, t in zip(*(batch.column(c).to_pylist() for c in ("sign", "band", "island", "m", "tolerance"))):
+            if (s, b, i) != key or m > end:
+                key, anchor, end = (s, b, i), m, m / (1 - t) if t < 1 else float("inf")
+            out.append((b, s, anchor, s * m))
+        if out:
+            types = (pa.string(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["band", "sign", "anchor", "v"])
 
 
 def _clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

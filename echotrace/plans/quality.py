@@ -84,6 +84,13 @@ def diverse(found: DataFrame, limit: int = RULE_LIMIT, per_scope: int = SCOPE_LI
     return found.join(F.broadcast(_ids(found.sparkSession, taken)), "finding_id", "left_semi")  # limit rows a rule at most
 
 
+def primary_count(findings: DataFrame) -> int:
+    """How many findings are primary; without tiers, those of high or medium risk that are no normal relation."""
+    plain = (F.col("finding_type") != "normal_relation") & F.col("risk").isin("high", "medium")
+    tier = F.col("attention_tier") if "attention_tier" in findings.columns else F.lit(None).cast("string")
+    return findings.where(F.coalesce(tier == "primary", plain)).count()
+
+
 def spreadsheet_order() -> list[Column]:
     tier = F.when(F.col("attention_tier") == "primary", 0).when(F.col("attention_tier") == "secondary", 1).otherwise(2)
     return [tier, risk_order(F.col("risk")), F.desc("matched_count"), F.desc("confidence"), F.col("finding_id")]

@@ -479,12 +479,27 @@ def image_page_features(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("source_path", "width", "height", "pixel_sha256", F.round("standard_deviation", 4).alias("standard_deviation"), F.inline("fingerprints"))
 
 
-@query()
+def _planted(spark: SparkSession, sf: str) -> DataFrame:
+    """The pictures, with copies of those whose id ends in 0 (under their id + 10,000,000; twice the numbers make another file of the same pixels) and mirrored ones of those that end in 5 (+ 20,000,000)."""
+    v = _t(spark, sf, "embeddings").select("vec_id", "embedding")
+    copies = v.where("vec_id % 10 = 0").select((F.col("vec_id") + 10_000_000).alias("vec_id"), F.transform("embedding", lambda x: x * F.lit(2).cast("float")).alias("embedding"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.reverse(F.slice("embedding", r * 8 + 1, 8)))
+    turned = v.where("vec_id % 10 = 5").select((F.col("vec_id") + 20_000_000).alias("vec_id"), F.flatten(rows).alias("embedding"))
+    return vision_pages.page_features(vision_scan.pictures_of(v.unionByName(copies).unionByName(turned), "vec_id", "embedding"))
+
+
+_FILE = "lpad(CAST({0} AS VARCHAR), 8, '0') || '.png'"
+
+
+@query(f"SELECT 2 AS n, 2 AS paths, {_FILE.format('vec_id')} AS first_path FROM embeddings WHERE vec_id % 10 = 0")
 def image_pixel_exact(spark: SparkSession, sf: str) -> DataFrame:
-    found = similarity.equal_pixels(vision_pages.page_features(_pictures(spark, sf)).where("error is null"))
-    return found.select("pixel_sha256", "n", "paths", F.col("first_page.source_path").alias("first_path"))
+    found = similarity.equal_pixels(_planted(spark, sf).where("error is null"))
+    return found.select("n", "paths", F.col("first_page.source_path").alias("first_path"))
 
 
-@query()
+@query(
+    f"""SELECT {_FILE.format('vec_id')} || '#1' AS first, {_FILE.format('vec_id + 10000000')} || '#1' AS second, 'identity' AS transform, 0 AS phash_distance, 0 AS dhash_distance, 'medium' AS risk FROM embeddings WHERE vec_id % 10 = 0
+UNION ALL SELECT {_FILE.format('vec_id')} || '#1', {_FILE.format('vec_id + 20000000')} || '#1', 'flip_horizontal', 0, 0, 'medium' FROM embeddings WHERE vec_id % 10 = 5"""
+)
 def image_perceptual(spark: SparkSession, sf: str) -> DataFrame:
-    return vision_pages.perceptual_pairs(vision_pages.page_features(_pictures(spark, sf)))
+    return vision_pages.perceptual_pairs(_planted(spark, sf)).select("first", "second", "transform", "phash_distance", "dhash_distance", "risk")

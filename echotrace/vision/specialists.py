@@ -184,15 +184,16 @@ WESTERN = "kind string, transform string, matched_bands int, structure double, b
 
 
 def western(decoded: DataFrame, single_bands: bool = False) -> DataFrame:
-    """Pairs of blot panels (rule_id image.western_blot.panel_reuse) and, if wanted, single bands; the best of each pair of pages and kind."""
+    """Pairs of blot panels (rule_id image.western_blot.panel_reuse), and strips of one row and, if wanted, single bands at low risk (image.western_blot.single_band); the best of each pair of pages."""
     found = regions(decoded, western_regions)
     found = found if single_bands else found.where("kind <> 'single'")
     parts = None
     for kind in ("multi", "single", "strip"):
         own = checked(candidates(found.where(F.col("kind") == kind), votes=2, cap=129, same_page=0.2), western_check, WESTERN)
         parts = own if parts is None else parts.unionByName(own)
-    rule = F.when(F.col("kind") == "single", "image.western_blot.single_band").otherwise("image.western_blot.panel_reuse")
-    return best_of(parts.withColumn("rule_id", rule), ["first", "second"], [F.desc("confidence")])
+    lone = F.col("kind").isin("single", "strip")
+    rule = F.when(lone, "image.western_blot.single_band").otherwise("image.western_blot.panel_reuse")
+    return best_of(parts.withColumns({"rule_id": rule, "risk": F.when(lone, "low").otherwise(F.col("risk"))}), ["first", "second"], [F.desc("confidence")])
 
 
 # --- dot arrays ----------------------------------------------------------------------------------------------------------

@@ -199,8 +199,26 @@ def test_attention_queue_and_review(spark):
 
 
 def test_whole_scan(spark):
-    both = cells(spark, [11, 22, 33, 44, 55], [22, 44, 66, 88, 110])
-    found = scan.scan_cells(both)
-    rules = {r.rule_id for r in found.collect()}
-    assert {"excel.series.scale", "excel.value.exact"} <= rules
-    assert all(len(r.finding_id) == 20 for r in found.collect())
+    both = cells(spark, [310, 620.2, 933, 1240, 70617.5], [620, 1240.4, 1866, 2480, 141235], [310.02, 88061755, 933, 9, 13])
+    found = scan.scan_cells(both).collect()
+    rules = {r.rule_id for r in found}
+    assert {"excel.series.scale", "excel.value.exact", "excel.digit_fragment", "excel.value.approximate"} <= rules
+    assert all(len(r.finding_id) == 20 for r in found) and len({r.finding_id for r in found}) == len(found)
+    near = next(r for r in found if r.rule_id == "excel.value.approximate" and '"310"' in r.details)
+    assert {x.coordinate for x in near.locations} == {"A2", "C2"} and '"tolerance_band":"0.01%"' in near.details
+    shared = {tuple(sorted(x.coordinate for x in r.locations)): r for r in found if r.rule_id == "excel.digit_fragment"}
+    assert shared["A6", "C3"].risk == "medium" and '"fragments":["06175","61755"]' not in shared["A6", "C3"].details and '"maximum_length":6' not in shared["A6", "C3"].details
+    assert quality.primary_count(scan.scan_cells(both)) == sum(r.attention_tier == "primary" for r in found)
+
+
+def test_rules_end_at_their_limit(spark, monkeypatch):
+    monkeypatch.setattr(scan, "RULE_LIMIT", 5)
+    near = [700 * 2**i + d * 2**i for i in range(10) for d in (0, 0.03 + i / 100)]
+    many = cells(spark, [10_000_000 * (i + 3) + 1234 + 7 * i for i in range(40)], near)
+    found = scan.scan_cells(many)
+    counts = dict(found.groupBy("rule_id").count().collect())
+    assert counts["excel.value.approximate"] == 5 and counts["excel.digit_fragment"] == 5
+    best = values.digit_fragments(many).orderBy(F.desc("maximum_length"), F.desc("distinct_values"), F.desc("cell_count")).limit(5)
+    longest = sorted(F_ for (F_,) in best.select("maximum_length").collect())
+    got = sorted(r.n for r in found.where("rule_id = 'excel.digit_fragment'").select(F.get_json_object("details", "$.maximum_length").cast("int").alias("n")).collect())
+    assert got == longest
