@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from echotrace.functions.expr import DERIVED_HEADER, close, column_letter, informative, risk_for_run
 from echotrace.model import ALL_PAIRS, BUCKET_LIMIT, Settings
+from echotrace.sources.sheets import column_number
 
 KEY = ("source_path", "sheet", "column", "header_row")
 #: Headers that name a running number.
@@ -110,18 +111,11 @@ def pattern_pairs(series: DataFrame) -> DataFrame:
 _REFERENCE = re.compile(r"(?:(?:'[^']*'|[A-Za-z0-9_.]+)!)?\$?([A-Za-z]{1,3})\$?([0-9]{1,7})(?::\$?([A-Za-z]{1,3})\$?([0-9]{1,7}))?")
 
 
-def _column_number(letters: str) -> int:
-    n = 0
-    for c in letters.upper():
-        n = 26 * n + ord(c) - 64
-    return n
-
-
 def references(formula: str | None, column: int, row: int) -> bool:
     """Whether a formula's cell or range operands cover a cell; text in quotes counts as text."""
     for a, b, c, d in _REFERENCE.findall(re.sub(r'"[^"]*"', '""', formula or "")):
-        left, top = _column_number(a), int(b)
-        right, bottom = (_column_number(c), int(d)) if c else (left, top)
+        left, top = column_number(a), int(b)
+        right, bottom = (column_number(c), int(d)) if c else (left, top)
         if min(left, right) <= column <= max(left, right) and min(top, bottom) <= row <= max(top, bottom):
             return True
     return False
@@ -248,7 +242,7 @@ NUMBERS = 1 << 17
 
 
 def relations(series: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """first, second, rule_id, parameter, matched_count, risk: how one series follows from the other, one row for each relation.
+    """first, second, rule_id, parameter, matched_count, risk: how one series follows from the other, one row for each relation; relation and relation_parameter are those that were met.
 
     A derived pair with a relation gives one excel.series.normal_derived row in their place. Pairs meet by their values alone; the series
     themselves join those that are related.
@@ -261,7 +255,7 @@ def relations(series: DataFrame, settings: Settings = Settings()) -> DataFrame:
     normal = F.col("derived_side").isNotNull()
     rule, parameter = F.when(normal, "excel.series.normal_derived").otherwise(F.col("rule_id")), F.when(~normal, F.col("parameter"))
     risk = F.when(normal, "low").otherwise(risk_for_run(F.col("first.n"), settings))
-    return related.select("first", "second", rule.alias("rule_id"), parameter.alias("parameter"), F.col("first.n").alias("matched_count"), risk.alias("risk"), "derived_side", "derived_by")
+    return related.select("first", "second", rule.alias("rule_id"), parameter.alias("parameter"), F.col("first.n").alias("matched_count"), risk.alias("risk"), "derived_side", "derived_by", F.col("rule_id").alias("relation"), F.col("parameter").alias("relation_parameter"))
 
 
 def shuffled(series: DataFrame, settings: Settings = Settings()) -> DataFrame:

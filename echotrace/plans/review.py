@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATUSES = ("pending", "confirmed", "dismissed", "needs_check")
+STATUSES = ("pending", "confirmed", "false_positive", "normal")
 
 
 def mark(findings: DataFrame, finding_id: str, status: str) -> DataFrame:

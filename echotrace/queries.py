@@ -351,10 +351,10 @@ def anti_excluded(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.without_explained(found, labelled).select("id", "id2", F.round("cosine", 6).alias("cosine"))
 
 
-@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'dismissed' WHEN quality = 0 THEN 'confirmed' ELSE 'pending' END AS review_status FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'false_positive' WHEN quality = 0 THEN 'confirmed' ELSE 'pending' END AS review_status FROM documents LEFT JOIN labels USING (doc_id)")
 def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
     now = _t(spark, sf, "documents").select(F.col("doc_id").alias("finding_id"), F.lit("pending").alias("review_status"))
-    status = F.when(F.col("toxic") == 1, "dismissed").when(F.col("quality") == 0, "confirmed").otherwise("pending")
+    status = F.when(F.col("toxic") == 1, "false_positive").when(F.col("quality") == 0, "confirmed").otherwise("pending")
     before = _t(spark, sf, "labels").select(F.col("doc_id").alias("finding_id"), status.alias("review_status"))
     return review.carry_forward(now, before).select(F.col("finding_id").alias("doc_id"), "review_status")
 

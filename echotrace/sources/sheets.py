@@ -63,6 +63,13 @@ def letters(n: int) -> str:
     return out
 
 
+def column_number(name: str) -> int:
+    n = 0
+    for ch in name.upper():
+        n = 26 * n + ord(ch) - 64
+    return n
+
+
 def _cell(path: str, sheet: str, row: int, column: int, value: str, shown: str, hidden: bool, header: tuple | None, formula: str | None = None) -> dict:
     return {
         "kind": "cell", "source_path": path, "sheet": sheet, "row": row, "column": column, "coordinate": f"{letters(column)}{row}", "canonical_value": value, "display_value": shown,
@@ -126,18 +133,21 @@ def read_xlsx(path: str, body: bytes) -> Iterator[dict]:
             if member not in book.namelist():
                 continue
             headers: dict[int, tuple[str, int]] = {}
+            row = column = 0  # rows and cells without a reference follow the one before them
             with book.open(member) as stream:
-                for _, e in ElementTree.iterparse(stream):
-                    if e.tag != f"{_MAIN}c":
-                        if e.tag == f"{_MAIN}row":
+                for event, e in ElementTree.iterparse(stream, ("start", "end")):
+                    if e.tag == f"{_MAIN}row":
+                        if event == "start":
+                            row, column = int(e.get("r") or row + 1), 0
+                        else:
                             e.clear()
                         continue
-                    at = re.fullmatch(r"([A-Z]+)(\d+)", e.get("r") or "")
-                    if not at:
+                    if event == "start" or e.tag != f"{_MAIN}c":
                         continue
-                    column, row = 0, int(at[2])
-                    for ch in at[1]:
-                        column = 26 * column + ord(ch) - 64
+                    if at := re.fullmatch(r"([A-Z]+)(\d+)", e.get("r") or ""):
+                        column, row = column_number(at[1]), int(at[2])
+                    else:
+                        column += 1
                     f, v, kind = e.find(f"{_MAIN}f"), e.findtext(f"{_MAIN}v"), e.get("t") or "n"
                     formula = None if f is None else "=" + (f.text or "")
                     if formula and not v:
@@ -185,10 +195,9 @@ def issues(rows: DataFrame) -> DataFrame:
 def preview(all_cells: DataFrame, source_path: str, sheet: str, coordinate: str, padding_rows: int = 1, padding_columns: int = 2, most_rows: int = 12, most_columns: int = 10) -> DataFrame:
     """row, column, display_value around a place: an A1 cell or range, or `row N`."""
     at = re.fullmatch(r"\$?([A-Za-z]{1,3})\$?(\d+)(?::\$?([A-Za-z]{1,3})\$?(\d+))?", coordinate.strip())
-    number = lambda s: sum((ord(c) - 64) * 26**i for i, c in enumerate(reversed(s.upper())))
     if at:
-        left, top = number(at[1]), int(at[2])
-        right, bottom = (number(at[3]), int(at[4])) if at[3] else (left, top)
+        left, top = column_number(at[1]), int(at[2])
+        right, bottom = (column_number(at[3]), int(at[4])) if at[3] else (left, top)
     elif row := re.search(r"(\d+)", coordinate):
         left, right, top, bottom = 1, most_columns, int(row[1]), int(row[1])
     else:

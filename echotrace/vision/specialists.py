@@ -67,9 +67,20 @@ def checked(pairs: DataFrame, check: Callable[[dict], dict | None], schema: str)
             r["extra" + s] = np.asarray(r["extra" + s], float)
         if (got := check(r)) is not None:
             plain = {k: v.item() if isinstance(v, np.generic) else v for k, v in got.items()}
-            yield {"first": r["id"], "second": r["id2"], "first_page": f"{r['source_path_1']}#{r['page_1']}", "second_page": f"{r['source_path_2']}#{r['page_2']}", **plain}
+            yield {"first": r["id"], "second": r["id2"], "first_page": f"{r['source_path_1']}#{r['page_1']}", "second_page": f"{r['source_path_2']}#{r['page_2']}", **_sides(r), **plain}
 
-    return map_rows(pairs, f"first string, second string, first_page string, second_page string, {schema}", of)
+    return map_rows(pairs, f"first string, second string, first_page string, second_page string, {SIDES}, {schema}", of)
+
+
+SIDES = "first_region string, second_region string, first_parts int, second_parts int, first_score double, second_score double"
+
+
+def _sides(r: dict) -> dict:
+    """Where each region lies, how many bands or spots it has, and its score."""
+    out: dict = {}
+    for name, s in (("first", "_1"), ("second", "_2")):
+        out |= {f"{name}_region": ", ".join(str(r[k + s]) for k in ("x", "y", "width", "height")), f"{name}_parts": len(r["boxes" + s]), f"{name}_score": r["score" + s]}
+    return out
 
 
 def _best_flip(r: dict, most: int, size: tuple[int, int]) -> tuple[str, float, np.ndarray] | None:
@@ -241,6 +252,12 @@ def _spots_alike(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt((np.abs(t * z - w) ** 2).mean()) / max(np.abs(w[-1] - w[0]), 1e-9))
 
 
+def _turn(p: np.ndarray, q: np.ndarray) -> tuple[float, float]:
+    """How much larger the first line is than the second, and by how many degrees the second is turned against it."""
+    z, w = ((c[-1] - c[0]) @ np.array([1, 1j]) for c in (p, q))
+    return float(abs(z) / max(abs(w), 1e-6)), float(np.degrees(np.angle(z * np.conj(w))))
+
+
 def dot_check(r: dict) -> dict | None:
     boxes = list(r["boxes_1"]), list(r["boxes_2"])
     n1, n2 = len(boxes[0]), len(boxes[1])
@@ -262,13 +279,14 @@ def dot_check(r: dict) -> dict | None:
                     if np.mean(each) >= 0.58 and min(each) >= 0.34 and profile >= 0.42 and own >= 0.05:
                         score = min(0.97, 0.36 + 0.16 * (1 - error / 0.065) + 0.28 * np.mean(each) + 0.1 * profile + 0.07 * min(n, 6) / 6)
                         if best is None or score > best["confidence"]:
-                            best = {"matched_spots": n, "layout_error": error, "appearance": float(np.mean(each)), "profile": float(profile), "mirrored": turned, "confidence": float(score), "risk": "medium" if n >= 4 and error <= 0.04 and np.mean(each) >= 0.68 else "low"}
+                            size, degrees = _turn(p, q[::-1] if turned else q)
+                            best = {"matched_spots": n, "layout_error": error, "appearance": float(np.mean(each)), "profile": float(profile), "least_spot": float(min(each)), "layout": 1 - error / 0.065, "spot_scale": size, "spot_rotation": degrees, "mirrored": turned, "confidence": float(score), "risk": "medium" if n >= 4 and error <= 0.04 and np.mean(each) >= 0.68 else "low"}
         if best:
             return best
     return None
 
 
-DOTS = "matched_spots int, layout_error double, appearance double, profile double, mirrored boolean, confidence double, risk string"
+DOTS = "matched_spots int, layout_error double, appearance double, profile double, least_spot double, layout double, spot_scale double, spot_rotation double, mirrored boolean, confidence double, risk string"
 
 
 def dot_blots(decoded: DataFrame) -> DataFrame:
@@ -400,7 +418,7 @@ def pathology(decoded: DataFrame) -> DataFrame:
     ratio = F.coalesce(F.greatest(a, b) / F.least(a, b), F.col("window_ratio"))
     other = (ratio >= 1.45) & (F.col("first_page") != F.col("second_page"))
     rule = F.when(other, "image.pathology.same_region_different_magnification").otherwise("image.pathology.local_reuse")
-    return best.withColumns({"rule_id": rule, "magnification_ratio": ratio, "risk": F.when(~other & (F.col("confidence") >= 0.92), "medium").otherwise("low")})
+    return best.withColumns({"rule_id": rule, "magnification_ratio": ratio, "first_magnification": a, "second_magnification": b, "risk": F.when(~other & (F.col("confidence") >= 0.92), "medium").otherwise("low")})
 
 
 def hint(path: str) -> str | None:
