@@ -30,6 +30,8 @@ from echotrace.llm.labelled import Sample, remainder, sample
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 BEGINNINGS = (4, 5, 6, 7)
 EPOCHS, RATE, DOCS_A_STEP = 6, 0.02, 64
+#: Texts whose words are counted at a time, which bounds the driver's arrays.
+COUNTED = 256
 THRESHOLD = 0.3
 #: Chunks a worker remembers, and characters of whole texts that it scores at a time, which bounds its arrays.
 REMEMBERED, SCORED_CHARS = 200_000, 1_000_000
@@ -126,12 +128,15 @@ def _responses(flat: np.ndarray, starts: np.ndarray, words: np.ndarray, filters:
 
 
 def _log_odds(buckets: np.ndarray, flat: np.ndarray, starts: np.ndarray, y: np.ndarray) -> np.ndarray:
-    text = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-    seen = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for column in buckets.T:
-        pairs = np.unique(text * BUCKETS + column[flat])
-        for c in (0, 1):
-            seen[c] += np.bincount(pairs[y[pairs // BUCKETS] == c] % BUCKETS, minlength=BUCKETS)
+    ends, seen = np.append(starts[1:], len(flat)), [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+    for a in range(0, len(starts), COUNTED):  # a text is in one block, so each of its words counts once
+        b = min(a + COUNTED, len(starts))
+        own, labels = flat[starts[a] : ends[b - 1]], y[a:b]
+        text = np.repeat(np.arange(b - a), ends[a:b] - starts[a:b])
+        for column in buckets.T:
+            pairs = np.unique(text * BUCKETS + column[own])
+            for c in (0, 1):
+                seen[c] += np.bincount(pairs[labels[pairs // BUCKETS] == c] % BUCKETS, minlength=BUCKETS)
     share = [(seen[c] + 1.0 * (seen[0] + seen[1] + 1) / (seen[0] + seen[1]).sum().clip(1)) / (max(1, (y == c).sum()) + 2) for c in (0, 1)]
     strength = (seen[0] + seen[1]) / (seen[0] + seen[1] + 6)  # rare words say little
     return strength * np.clip(np.log((share[1] + 3e-3) / (share[0] + 3e-3)), -4, 4)
@@ -146,7 +151,7 @@ def fit(found: Sample, epochs: int = EPOCHS, seed: int = 11) -> Model:
     if min(np.bincount(y[cut:].astype(int), minlength=2)) < 10:
         cut = len(y)  # too few rows to keep some back
     vocabulary = Vocabulary(1 << 62)  # numbers must last
-    numbered = [vocabulary.read([t])[0] for t in found.texts]
+    numbered = [vocabulary.read([t])[0].astype(np.int32) for t in found.texts]
     all_ = np.arange(len(vocabulary.number))
     buckets, tells = vocabulary.buckets(all_), vocabulary.tells(all_)
     every = lambda ids: (np.concatenate([numbered[i] for i in ids]), np.concatenate([[0], np.cumsum([len(numbered[i]) for i in ids[:-1]])]).astype(np.int64))

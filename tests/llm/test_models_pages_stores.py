@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, page layouts, neighbours against brute force, the shard store, the pipeline."""
 
 import json
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -302,3 +303,21 @@ def test_pipeline_stages(spark):
         docs = after
     packed = C.STAGES[3][1](spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_words_are_counted_in_blocks():
+    rng, texts, each = np.random.default_rng(3), 2048, 500
+    flat, starts = rng.integers(0, 3000, texts * each).astype(np.int32), np.arange(texts) * each
+    buckets, y = rng.integers(1, toxicity.BUCKETS, (3000, 2)).astype(np.int32), (np.arange(texts) % 3 == 0).astype(float)
+    tracemalloc.start()
+    got = toxicity._log_odds(buckets, flat, starts, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # a number for each word of all texts takes 8 MB, and there were several
+    seen = np.zeros((2, toxicity.BUCKETS))
+    for i, a in enumerate(starts):
+        for column in buckets.T:
+            seen[int(y[i]), np.unique(column[flat[a : a + each]])] += 1
+    every = seen.sum(0)
+    share = [(seen[c] + (every + 1) / every.sum()) / ((y == c).sum() + 2) for c in (0, 1)]
+    assert np.allclose(got, every / (every + 6) * np.clip(np.log((share[1] + 3e-3) / (share[0] + 3e-3)), -4, 4))

@@ -314,3 +314,20 @@ def test_counts_drop_no_similar_pair():
             (_, m, x), (_, k, y) = (simhash._sketch(w, 5) for w in (words, other))
             near = simhash._near(np.array([m]), np.frombuffer(x, np.uint8)[None], np.array([k]), np.frombuffer(y, np.uint8)[None], 0.8)
             assert near[0] or simhash.similarity(words, other, 5) < 0.8
+
+
+def test_a_round_of_stars_plans_no_join_for_each_end(spark, monkeypatch):
+    from echotrace.llm import components as stars
+
+    plans, kept = [], stars.written
+
+    def written(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")))
+        return kept(df, name)
+
+    monkeypatch.setattr(stars, "written", written)
+    links = [(i, i + 1) for i in range(20, 32)] + [(7, 3), (3, 9), (9, 7), (40, 41), (5, 5)]
+    got = {r.node: r.root for r in stars.components(spark.createDataFrame(links, "a long, b long")).collect() if r.node != r.root}
+    assert got == {**{i: 20 for i in range(21, 33)}, 7: 3, 9: 3, 41: 40}
+    rounds = [joins for name, joins in plans if name == "stars"]
+    assert rounds and max(rounds) <= 3, rounds  # there were 6
