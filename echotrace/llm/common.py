@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes an Arrow batch holds at most: bounds a Python worker's memory when texts are very long.
@@ -131,6 +131,22 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows with their number, from 1, in this order; rows that it leaves equal come in any order, and may lie in several ranges.
+
+    Rows are dealt by range, sorted there and written with their place; a range's first number is the count of rows before it.
+    """
+    spark, tie = df.sparkSession, unused(df.columns, "tie")
+    salted = df.withColumn(tie, F.monotonically_increasing_id())  # equal rows can be parted
+    placed = salted.repartitionByRange(partitions(spark), *order, tie).sortWithinPartitions(*order, tie).drop(tie)
+    placed = written(placed.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    range_, before = unused([*df.columns, name], "range_"), unused([*df.columns, name], "before_")
+    of = F.shiftright(name, 33)
+    counts = placed.groupBy(of.alias(range_)).agg(F.count("*").alias("n"))  # a row a partition
+    counts = counts.select(range_, (F.sum("n").over(Window.orderBy(range_)) - F.col("n")).alias(before))
+    return placed.withColumn(range_, of).join(F.broadcast(counts), range_).withColumn(name, F.col(before) + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop(range_, before)
+
+
 #: Bytes of input that a range of ids should hold, and the id that stands for none.
 RANGE_BYTES, NO_ID = 64 << 20, -(1 << 63)
 
