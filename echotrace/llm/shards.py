@@ -126,14 +126,14 @@ class ShardStore:
         return sorted(out, key=lambda x: x["file"])
 
     def append(self, arrivals: DataFrame, by: Column | None = None) -> list[int]:
-        """Commits the rows as small shards; with `by`, rows of each value (not null) as an arrival of their own, in its order. All columns are stored."""
+        """Commits the rows as small shards; with `by`, rows of each value (not null) as an arrival of their own, in the order of its text. All columns are stored."""
         folder = f"{self.folder}/data/{uuid.uuid4().hex}"
         if by is None:
             arrivals.write.parquet(folder)
             parts = [folder]
         else:
             name = unused(arrivals.columns, "arrival")
-            arrivals.withColumn(name, by).write.partitionBy(name).parquet(folder)
+            arrivals.withColumn(name, F.hex(by.cast("string"))).write.partitionBy(name).parquet(folder)  # names that no path has to escape
             parts = sorted(x.getPath().toString() for x in self._fs.listStatus(self._path(folder)) if x.isDirectory() and "=" in x.getPath().getName())
         out = []
         for part in parts:
@@ -208,11 +208,17 @@ class ShardStore:
         if taken := {shard, position} & set(rows.columns):
             raise ValueError(f"the rows have columns {sorted(taken)}: give other names")
         name = unused([*rows.columns, shard, position], "file_name")
-        numbers = self.spark.createDataFrame([(f.rsplit("/", 1)[-1], i) for i, f in enumerate(files)], f"{name} string, {shard} int")
-        rows = rows.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias(name), F.col("_metadata.row_index").alias(position))
+        numbers = self.spark.createDataFrame([(_below_data(f), i) for i, f in enumerate(files)], f"{name} string, {shard} int")
+        below = F.substring_index(F.col("_metadata.file_path"), "/data/", -1)
+        rows = rows.select("*", below.alias(name), F.col("_metadata.row_index").alias(position))
         return rows.join(F.broadcast(numbers), name).drop(name)  # a row a shard, of the list that the driver holds
 
 
+def _below_data(file: str) -> str:
+    """A data file's path below the store's folder of data, of letters, digits and -=./ alone; files of several arrivals of one write bear the same base name."""
+    return file.rsplit("/data/", 1)[-1]
+
+
 def _merge(spark: SparkSession, runs: list[list[str]], folder: str) -> list[tuple[int, dict]]:
     want = spark.createDataFrame([], "run int, file string, rows long, bytes long").schema
     schema = to_arrow_schema(want)

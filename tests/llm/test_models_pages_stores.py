@@ -285,6 +285,19 @@ def test_columns_of_any_name_and_two_writers(spark, tmp_path, monkeypatch):
         other.commit(stale, [])
 
 
+def test_arrivals_of_one_write_are_read_once(spark, tmp_path):
+    """Files of a write by value bear one base name for several values; few arrivals stay unmerged."""
+    store = shards.ShardStore(spark, f"file://{tmp_path}/by", fan=4)
+    rows = spark.createDataFrame([(i, f"a b%{i % 2}/é") for i in range(68)], "doc_id long, v string").coalesce(1)
+    store.append(rows, by=F.col("doc_id") % 2)
+    store.append(rows.withColumn("doc_id", F.col("doc_id") + 100), by=F.when(F.col("doc_id") > 3, F.col("v")).otherwise("%25"))
+    listed = store.manifest()["shards"]
+    assert len({x["file"].rsplit("/", 1)[-1] for x in listed}) < len(listed)
+    got = store.read().collect()
+    assert len(got) == 136 == sum(x["rows"] for x in listed) and sorted(r.doc_id for r in got) == [*range(68), *range(100, 168)]
+    assert len({(r.shard, r.position) for r in got}) == 136 and {r.shard for r in got} == set(range(len(listed)))
+
+
 def test_sizes_make_tiers(spark, tmp_path):
     store = shards.ShardStore(spark, f"file://{tmp_path}/t", target=1 << 30, fan=4)
     some = [{"file": str(i), "rows": 1, "bytes": 2 << 20, "arrived": i} for i in range(4)] + [{"file": "big", "rows": 1, "bytes": 600 << 20, "arrived": 0}, {"file": "mid", "rows": 1, "bytes": 90 << 20, "arrived": 0}]
