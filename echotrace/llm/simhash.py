@@ -234,15 +234,78 @@ def _unlinked(members: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(met: DataFrame, sides: DataFrame, size: int) -> DataFrame:
-    """Buckets (key, rep, n) to the rows of their cells, one cell's after another: all members of a bucket, or of two of its blocks."""
+    """Buckets (key, rep, n) to the rows of their cells, one cell's after another: all members of a bucket, or of two of its blocks.
+
+    A row meets its sides once, with all its buckets (a row has one for each table at most), and is dealt to them after that.
+    """
+    listed = met.groupBy("rep").agg(F.collect_list(F.struct("key", "n")).alias("buckets")).join(sides.hint("merge"), "rep")
+    placed = listed.select("rep", "root", "bits", "shingles", "counts", F.explode("buckets").alias("of")).select("*", "of.key", "of.n").drop("of")
     blocks = F.ceil(F.col("n") / size).cast("int")
-    placed = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), "blocks").cast("int"))
+    placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), "blocks").cast("int"))
     cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    placed = placed.select("key", "rep", "block", cells.alias("at")).join(sides.hint("merge"), "rep")
-    rows = placed.select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "rep", "root", "block", "bits", "shingles", "counts")
+    rows = placed.withColumn("at", cells).select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "rep", "root", "block", "bits", "shingles", "counts")
     return rows.repartition(partitions(met.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys start, and each row's run."""
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _by_key(rows: DataFrame, order: str) -> DataFrame:
+    bound_batches(rows.sparkSession)
+    return rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", order)
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """key, rep, head (the bucket's smallest rep) of all rows whose key another row has, from rows key, rep. One pass over sorted rows, which holds a row of the open bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, head, waits = None, 0, False  # the open bucket's key and head, and whether the head is still alone
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, rep = (batch.column(c).to_numpy() for c in ("key", "rep"))
+            if waits:
+                key, rep = np.concatenate([[open_], key]), np.concatenate([[head], rep])
+            starts, of = _runs(key)
+            heads, sizes = rep[starts], np.diff(np.append(starts, len(key)))
+            kept = sizes > 1
+            if not waits and key[0] == open_:
+                heads[0], kept[0] = head, True
+            open_, head, waits = key[-1], heads[-1], not kept[-1]
+            out = kept[of]
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(rep[out]), pa.array(heads[of][out])], names=["key", "rep", "head"])
+        release()
+
+    return _by_key(rows, "rep").mapInArrow(run, "key long, rep long, head long")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """key, rep, n (the bucket's rows) of buckets that hold two roots or more, from rows key, rep, root.
+
+    A bucket's sums travel with its rows and stand before them, so that one pass over sorted rows knows what to keep."""
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", F.lit(-1).cast("long").alias("rep"), "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, size = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, rep, n = (batch.column(c).to_numpy() for c in ("key", "rep", "n"))
+            starts, of = _runs(key)
+            sizes = np.where(rep[starts] < 0, n[starts], 0)
+            if key[0] == open_:
+                sizes[0] = size
+            open_, size = key[-1], sizes[-1]
+            out = (rep >= 0) & (sizes[of] > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(rep[out]), pa.array(sizes[of][out])], names=["key", "rep", "n"])
+        release()
+
+    return _by_key(sums.unionByName(rows.select("key", "rep", F.lit(0).cast("long").alias("n"))), "rep").mapInArrow(run, "key long, rep long, n long")
+
+
 def _met(cells: DataFrame, least: float) -> DataFrame:
     """a, b of _unlinked() for all cells; a task holds one batch and the cell that goes on in the next."""
     bound_batches(cells.sparkSession)
@@ -312,8 +375,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
     tables = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(F.sequence(i + 1, last), lambda j: key(i, j)))))
     # each row becomes 210: spread over more tasks, so that what a task combines before the shuffle stays small
     rows = reps.repartition(4 * partitions(docs.sparkSession)).select("rep", tables.alias("key"))
-    heads = rows.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
-    buckets = written(rows.join(heads.hint("merge"), "key").select("key", "rep", "head"), "buckets")
+    buckets = written(_buckets(rows), "buckets")
     shared = buckets.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("n"))
     best = Window.partitionBy("rep").orderBy(F.desc("n"), "head")  # a row has a head for each of its buckets at most
     nearest = shared.withColumn("place", F.row_number().over(best)).where(F.col("place") <= HEADS).select(F.col("head").alias("a"), F.col("rep").alias("b"))
@@ -322,9 +384,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
     linked = _checked(nearest, texts, shingle, least)
     known = components(linked)
     root = written(reps.select("rep").join(known, reps.rep == known.node, "left").select("rep", F.coalesce("root", "rep").alias("root")), "roots")
-    met = buckets.select("key", "rep").join(root.hint("merge"), "rep")
-    mixed = met.groupBy("key").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed")).where("mixed").drop("mixed")
-    met = written(met.join(mixed.hint("merge"), "key").select("key", "rep", "n"), "mixed")
+    listed = buckets.groupBy("rep").agg(F.collect_list("key").alias("keys")).join(root.hint("merge"), "rep")  # 210 keys at most
+    met = written(_mixed(written(listed.select(F.explode("keys").alias("key"), "rep", "root"), "rooted")), "mixed")
     sides = reps.join(root, "rep").select("rep", "bits", "shingles", "counts", "root")
     left = written(_met(_cells(met, sides, cell), least), "unlinked")
     roots = components(linked.unionByName(_checked(left, texts, shingle, least)))

@@ -331,3 +331,24 @@ def test_a_round_of_stars_plans_no_join_for_each_end(spark, monkeypatch):
     assert got == {**{i: 20 for i in range(21, 33)}, 7: 3, 9: 3, 41: 40}
     rounds = [joins for name, joins in plans if name == "stars"]
     assert rounds and max(rounds) <= 3, rounds  # there were 6
+
+
+def test_buckets_and_mixed_buckets_equal_plain_grouping(spark):
+    """One pass over sorted rows, whatever the batches: runs that end with a batch, and one bucket of a third of the rows."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k), i, int(r)) for i, (k, r) in enumerate(zip(np.where(rng.random(3000) < 0.33, 7, rng.integers(0, 2000, 3000)), rng.integers(0, 3, 3000)))]
+    df = spark.createDataFrame(rows, "key long, rep long, root long")
+    members = {}
+    for k, i, r in rows:
+        members.setdefault(k, []).append((i, r))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (1, 3, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            got = sorted(map(tuple, simhash._buckets(df.select("key", "rep")).collect()))
+            assert got == sorted((k, i, min(m)[0]) for k, m in members.items() if len(m) > 1 for i, _ in m)
+            got = sorted(map(tuple, simhash._mixed(df).collect()))
+            assert got == sorted((k, i, len(m)) for k, m in members.items() if len({r for _, r in m}) > 1 for i, _ in m)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert simhash._buckets(df.limit(0).select("key", "rep")).count() == simhash._mixed(df.limit(0)).count() == 0
