@@ -287,7 +287,7 @@ def test_columns_of_any_name_and_two_writers(spark, tmp_path, monkeypatch):
 
 def test_arrivals_of_one_write_are_read_once(spark, tmp_path):
     """Files of a write by value bear one base name for several values; few arrivals stay unmerged."""
-    store = shards.ShardStore(spark, f"file://{tmp_path}/by", fan=4)
+    store = shards.ShardStore(spark, f"file://{tmp_path}/by", fan=8)
     rows = spark.createDataFrame([(i, f"a b%{i % 2}/é") for i in range(68)], "doc_id long, v string").coalesce(1)
     store.append(rows, by=F.col("doc_id") % 2)
     store.append(rows.withColumn("doc_id", F.col("doc_id") + 100), by=F.when(F.col("doc_id") > 3, F.col("v")).otherwise("%25"))
