@@ -13,7 +13,7 @@ OUT_ROWS = 5_000
 
 
 def map_rows(df: DataFrame, schema: str, f: Callable[[dict], Iterable[dict]]) -> DataFrame:
-    """f's rows for every row of df; keys that a row lacks are null. Memory holds an input row's rows and OUT_ROWS more."""
+    """f's rows for every row of df; keys that a row lacks are null. f may be a generator: memory holds OUT_ROWS of its rows."""
     want = df.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow_schema(want)
     names = arrow.names
@@ -23,10 +23,11 @@ def map_rows(df: DataFrame, schema: str, f: Callable[[dict], Iterable[dict]]) ->
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                out += [{n: x.get(n) for n in names} for x in f(row)]
-                if len(out) >= OUT_ROWS:
-                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
-                    out = []
+                for x in f(row):
+                    out.append({n: x.get(n) for n in names})
+                    if len(out) >= OUT_ROWS:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        out = []
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 

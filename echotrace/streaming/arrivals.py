@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from echotrace.functions.rows import map_rows
-from echotrace.sources.sheets import ROWS, SUFFIXES, read_bytes
+from echotrace.sources.sheets import ROWS, SUFFIXES, read_file
 
 
 def arriving(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
@@ -15,7 +17,7 @@ def arriving(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> Dat
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_a_batch).load(folder)
     files = files.where(F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).isin(*SUFFIXES)).select("path", "content")
-    return map_rows(files, ROWS, lambda r: read_bytes(r["path"], r["content"]))
+    return map_rows(files, ROWS, lambda r: read_file(r["path"], io.BytesIO(r["content"])))
 
 
 def gather(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
