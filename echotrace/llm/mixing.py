@@ -30,7 +30,7 @@ from echotrace.llm.common import id_and_text, numbered, partitions, table, writt
 #: Weights of sources in the order of their names, repeating; the times that a source's words may be taken; seed of the orders.
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 42
 #: Words of a block; slots at most, so that products of two slots stay in a long (blocks are larger beyond); rows of a section, about.
-BLOCK_WORDS, SLOTS, SECTION = 1024, 1 << 31, 1 << 14
+BLOCK_WORDS, SLOTS, SECTION = 1024, 1 << 31, 1 << 12
 #: What parts words: the space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 PHI = (1 + math.sqrt(5)) / 2

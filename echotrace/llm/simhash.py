@@ -146,6 +146,8 @@ CELL = 512
 PAIRS, LONG_LIST = 1 << 14, 64
 #: Heads that a row is checked against first: enough links a row to leave few groups in more than one part. What they leave is compared in full.
 HEADS = 4
+#: Tasks that a bucket's rows are dealt to where only its sums matter.
+SALTS = 4
 
 
 def _words(text: str) -> list[bytes]:
@@ -239,6 +241,7 @@ def _cells(met: DataFrame, sides: DataFrame, size: int) -> DataFrame:
     A row meets its sides once, with all its buckets (a row has one for each table at most), and is dealt to them after that.
     """
     listed = met.groupBy("rep").agg(F.collect_list(F.struct("key", "n")).alias("buckets")).join(sides.hint("merge"), "rep")
+    listed = listed.repartition(partitions(met.sparkSession))  # evenly, as each row becomes many
     placed = listed.select("rep", "root", "bits", "shingles", "counts", F.explode("buckets").alias("of")).select("*", "of.key", "of.n").drop("of")
     blocks = F.ceil(F.col("n") / size).cast("int")
     placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "key"), "blocks").cast("int"))
@@ -285,8 +288,11 @@ def _buckets(rows: DataFrame) -> DataFrame:
 def _mixed(rows: DataFrame) -> DataFrame:
     """key, rep, n (the bucket's rows) of buckets that hold two roots or more, from rows key, rep, root.
 
-    A bucket's sums travel with its rows and stand before them, so that one pass over sorted rows knows what to keep."""
-    sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", F.lit(-1).cast("long").alias("rep"), "n")
+    A bucket's sums travel with its rows and stand before them, so that one pass over sorted rows knows what to keep. A bucket is dealt
+    to SALTS tasks, each with its sums."""
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    sums = sums.select(F.explode(F.sequence(F.col("key") * SALTS, F.col("key") * SALTS + (SALTS - 1))).alias("key"), F.lit(-1).cast("long").alias("rep"), "n")
+    dealt = rows.select((F.col("key") * SALTS + F.pmod(F.xxhash64("rep"), F.lit(SALTS))).alias("key"), "rep", F.lit(0).cast("long").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, size = None, 0
@@ -300,10 +306,10 @@ def _mixed(rows: DataFrame) -> DataFrame:
                 sizes[0] = size
             open_, size = key[-1], sizes[-1]
             out = (rep >= 0) & (sizes[of] > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(rep[out]), pa.array(sizes[of][out])], names=["key", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[out] // SALTS), pa.array(rep[out]), pa.array(sizes[of][out])], names=["key", "rep", "n"])
         release()
 
-    return _by_key(sums.unionByName(rows.select("key", "rep", F.lit(0).cast("long").alias("n"))), "rep").mapInArrow(run, "key long, rep long, n long")
+    return _by_key(sums.unionByName(dealt), "rep").mapInArrow(run, "key long, rep long, n long")
 
 
 def _met(cells: DataFrame, least: float) -> DataFrame:
