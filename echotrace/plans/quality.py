@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echotrace.functions.expr import risk_order, strength
@@ -63,24 +65,41 @@ def attention(found: DataFrame) -> DataFrame:
     return out.withColumn("attention_tier", F.when(F.col("finding_type") == "normal_relation", "normal").when(F.col("_primary"), "primary").otherwise("secondary")).drop("_primary")
 
 
+#: Findings of a rule that are sorted with those of all others.
+WALKED = 20_000
+
+
+def _walk(rows: Iterable[Row], limit: int, per_scope: int) -> tuple[list[str], int]:
+    """The ids taken of sorted findings, and how many were looked at."""
+    taken, used, seen = [], Counter(), 0
+    for r in rows:
+        if len(taken) == limit:
+            break
+        seen += 1
+        scopes = set(r.sheets)
+        if not scopes or any(used[s] < per_scope for s in scopes):
+            taken.append(r.finding_id)
+            used.update(scopes)
+    return taken, seen
+
+
 def diverse(found: DataFrame, limit: int = RULE_LIMIT, per_scope: int = SCOPE_LIMIT) -> DataFrame:
     """The strongest findings of each rule, without one scope taking them all: one is refused only if all its scopes are full.
 
-    Each rule's sorted findings are walked in the driver until the limit is reached.
+    Each rule's first WALKED findings are sorted together and walked in the driver; a rule that these leave short is walked alone,
+    partition by partition, until the limit is reached.
     """
     order = [risk_order(F.col("risk")), F.desc("matched_count"), F.desc("distinct_count"), F.desc("confidence"), F.col("finding_id")]
-    apt, taken = _prefixes(found, order, per_scope, limit), []
-    for rule in [x.rule_id for x in found.select("rule_id").distinct().orderBy("rule_id").collect()]:  # the catalogue's rules
-        used, n = Counter(), 0
-        for r in apt.where(F.col("rule_id") == rule).orderBy(*order).select("finding_id", "sheets").toLocalIterator():
-            if n >= limit:
-                break
-            scopes = set(r.sheets)
-            if scopes and all(used[s] >= per_scope for s in scopes):
-                continue
-            taken.append(r.finding_id)
-            used.update(scopes)
-            n += 1
+    apt, taken, short = _prefixes(found, order, per_scope, limit), [], []
+    first = apt.withColumn("_place", F.row_number().over(Window.partitionBy("rule_id").orderBy(*order))).where(F.col("_place") <= WALKED)
+    for rule, rows in groupby(first.orderBy("rule_id", "_place").select("finding_id", "rule_id", "sheets").toLocalIterator(), key=lambda r: r.rule_id):
+        got, seen = _walk(rows, limit, per_scope)
+        if len(got) < limit and seen == WALKED:
+            short.append(rule)
+        else:
+            taken += got
+    for rule in short:
+        taken += _walk(apt.where(F.col("rule_id") == rule).orderBy(*order).select("finding_id", "sheets").toLocalIterator(), limit, per_scope)[0]
     return found.join(F.broadcast(_ids(found.sparkSession, taken)), "finding_id", "left_semi")  # limit rows a rule at most
 
 

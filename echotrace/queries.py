@@ -416,12 +416,32 @@ def consolidate(spark: SparkSession, sf: str) -> DataFrame:
     return quality.consolidate(_findings(spark, sf).drop("relation_group_primary"), F.col("key")).select("finding_id", "relation_group_primary", "merged_rule_count", "related_rules")
 
 
-@query()
+_RISK = "CASE risk WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
+_SCOPES = "'b' || (key % 40) AS book, 'b' || (key % 40) || '|s' || (key % 7) AS sheet"
+#: Each step takes the first finding behind the last one whose workbook, sheet and rule have room left.
+_QUEUE = _FINDINGS.replace("WITH f", "WITH RECURSIVE f") + f""", c AS (SELECT row_number() OVER (ORDER BY {_RISK}, strength DESC, matched_count DESC, distinct_count DESC, confidence DESC, finding_id) AS i, finding_id, rule_id, {_SCOPES}
+ FROM w WHERE finding_type <> 'normal_relation' AND risk IN ('high', 'medium')),
+q AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS taken, CAST([] AS VARCHAR[]) AS books, CAST([] AS VARCHAR[]) AS sheets, CAST([] AS VARCHAR[]) AS rules
+ UNION ALL SELECT x.i, x.finding_id, list_append(books, x.book), list_append(sheets, x.sheet), list_append(rules, x.rule_id) FROM
+ (SELECT any_value(q.books) AS books, any_value(q.sheets) AS sheets, any_value(q.rules) AS rules, arg_min(c, c.i) AS x FROM q, c WHERE c.i > q.i AND len(q.rules) < {quality.QUEUE}
+  AND len(list_filter(q.books, lambda b: b = c.book)) < {quality.QUEUE_WORKBOOK} AND len(list_filter(q.sheets, lambda b: b = c.sheet)) < {quality.QUEUE_SHEET}
+  AND len(list_filter(q.rules, lambda b: b = c.rule_id)) < CASE c.rule_id WHEN 'excel.digit_fragment' THEN {quality.QUEUE_DIGITS} ELSE {quality.QUEUE_RULE} END GROUP BY q.i))
+SELECT finding_id, CASE WHEN finding_type = 'normal_relation' THEN 'normal' WHEN finding_id IN (SELECT taken FROM q WHERE taken IS NOT NULL) THEN 'primary' ELSE 'secondary' END AS attention_tier FROM w"""
+
+
+@query(_QUEUE)
 def attention_queue(spark: SparkSession, sf: str) -> DataFrame:
     return quality.attention(_findings(spark, sf)).select("finding_id", "attention_tier")
 
 
-@query()
+#: A finding here has one sheet, so that it is refused exactly where this is full.
+_DIVERSE = _FINDINGS + f""", s AS (SELECT *, {_SCOPES} FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY rule_id, sheet ORDER BY {_RISK}, matched_count DESC, distinct_count DESC, confidence DESC, finding_id) AS k FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY {_RISK}, matched_count DESC, distinct_count DESC, confidence DESC, finding_id) AS place FROM o WHERE k <= {quality.SCOPE_LIMIT})
+SELECT finding_id, rule_id FROM r WHERE place <= {quality.RULE_LIMIT}"""
+
+
+@query(_DIVERSE)
 def diverse_topk(spark: SparkSession, sf: str) -> DataFrame:
     return quality.diverse(_findings(spark, sf)).select("finding_id", "rule_id")
 

@@ -8,17 +8,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrace.functions.expr import channel_role, field_key, magnification
 from echotrace.functions.rows import map_rows
 from echotrace.operators.similarity import banded, best_of, byte_keys, with_both
-from echotrace.vision import kernels as K
+from echotrace.vision import dots, kernels as K
 from echotrace.vision.pages import array_of
 
 REGION = "id string, source_path string, page int, kind string, name string, x int, y int, width int, height int, score double, hashes array<bigint>, rows int, columns int, structure array<float>, extra array<float>, boxes array<array<int>>"
@@ -209,106 +208,34 @@ def western(decoded: DataFrame, single_bands: bool = False) -> DataFrame:
 
 # --- dot arrays ----------------------------------------------------------------------------------------------------------
 
-
-def dot_regions(pixels: np.ndarray) -> Iterator[dict]:
-    """Lines of three to twelve round spots of like size; extra holds the spots' 16 x 16 pictures."""
-    gray = K.to_gray(pixels).astype(float)
-    seen: set[tuple] = set()
-    arrays: list[tuple[float, list]] = []
-    for invert in (True, False):
-        g = 255 - gray if invert else gray
-        top = g - K.blur(g, max(6, min(g.shape) // 6))
-        for share in (1.0, 0.75, 0.5):
-            mask = top > max(10.0, share * K.otsu(np.clip(top, 0, 255)))
-            spots = [b for b in K.components(mask) if b[2] >= 6 and b[3] >= 6 and 0.6 <= b[2] / b[3] <= 1.67 and b[4] >= 0.5 * b[2] * b[3]][:32]
-            spots.sort(key=lambda b: b[0])
-            for i, a in enumerate(spots):
-                line = [a]
-                for b in spots[i + 1 :]:
-                    size = (line[-1][2] + line[-1][3]) / 2
-                    if abs(b[1] + b[3] / 2 - line[-1][1] - line[-1][3] / 2) <= 0.45 * size and 0.5 <= (b[2] + b[3]) / 2 / size <= 2 and b[0] - line[-1][0] <= 5 * size:
-                        line.append(b)
-                line = line[:12]
-                key = tuple((b[0] // 4, b[1] // 4) for b in line)
-                if len(line) >= 3 and key not in seen and not any(set(key) <= k for k in map(set, seen)):
-                    seen.add(key)
-                    arrays.append((float(np.mean([top[b[1] : b[1] + b[3], b[0] : b[0] + b[2]].mean() for b in line])), line))
-    for score, line in sorted(arrays, key=lambda x: (-len(x[1]), -x[0]))[:8]:
-        x, y = min(b[0] for b in line), min(b[1] for b in line)
-        x2, y2 = max(b[0] + b[2] for b in line), max(b[1] + b[3] for b in line)
-        patches = np.stack([K.standardise(K.resize(gray[b[1] : b[1] + b[3], b[0] : b[0] + b[2]], 16, 16)) for b in line])
-        yield {"kind": "dots", "x": x, "y": y, "width": x2 - x, "height": y2 - y, "score": score, "structure": patches.reshape(len(line), 256), "hashes": [0], "boxes": [list(map(int, b[:4])) for b in line]}
-
-
-def _layouts(boxes: list, k: int) -> list[np.ndarray]:
-    centres = np.array([[b[0] + b[2] / 2, b[1] + b[3] / 2] for b in boxes], float)
-    return [centres[i : i + k] for i in range(len(centres) - k + 1)]
-
-
-def _spots_alike(p: np.ndarray, q: np.ndarray) -> float:
-    """The distance of two equally long lines of points after shift, scale and turn, as a share of their length."""
-    z, w = (c[:, 0] + 1j * c[:, 1] for c in (p - p.mean(0), q - q.mean(0)))
-    t = (np.conj(z) @ w) / max((np.abs(z) ** 2).sum(), 1e-9)
-    return float(np.sqrt((np.abs(t * z - w) ** 2).mean()) / max(np.abs(w[-1] - w[0]), 1e-9))
-
-
-def _turn(p: np.ndarray, q: np.ndarray) -> tuple[float, float]:
-    """How much larger the first line is than the second, and by how many degrees the second is turned against it."""
-    z, w = ((c[-1] - c[0]) @ np.array([1, 1j]) for c in (p, q))
-    return float(abs(z) / max(abs(w), 1e-6)), float(np.degrees(np.angle(z * np.conj(w))))
-
-
-def dot_check(r: dict) -> dict | None:
-    boxes = list(r["boxes_1"]), list(r["boxes_2"])
-    n1, n2 = len(boxes[0]), len(boxes[1])
-    best = None
-    for n in range(min(8, n1, n2), 2, -1):
-        if n == 3 and n1 == n2 == 3:
-            break
-        for i, p in enumerate(_layouts(boxes[0], n)):
-            for j, q in enumerate(_layouts(boxes[1], n)):
-                for turned in (False, True):
-                    error = _spots_alike(p, q[::-1] if turned else q)
-                    if error > (0.065 if n >= 4 else 0.048):
-                        continue
-                    a, b = r["structure_1"][i : i + n], r["structure_2"][j : j + n]
-                    b = b[::-1].reshape(n, 16, 16)[:, ::-1, ::-1].reshape(n, 256) if turned else b
-                    each = [K.correlation(x, y) for x, y in zip(a, b)]
-                    profile = np.mean([K.correlation(x.reshape(16, 16).mean(0), y.reshape(16, 16).mean(0)) for x, y in zip(a, b)])
-                    own = max((1 - K.correlation(x, y) for x, y in pairwise(a)), default=0.0)
-                    if np.mean(each) >= 0.58 and min(each) >= 0.34 and profile >= 0.42 and own >= 0.05:
-                        score = min(0.97, 0.36 + 0.16 * (1 - error / 0.065) + 0.28 * np.mean(each) + 0.1 * profile + 0.07 * min(n, 6) / 6)
-                        if best is None or score > best["confidence"]:
-                            size, degrees = _turn(p, q[::-1] if turned else q)
-                            best = {"matched_spots": n, "layout_error": error, "appearance": float(np.mean(each)), "profile": float(profile), "least_spot": float(min(each)), "layout": 1 - error / 0.065, "spot_scale": size, "spot_rotation": degrees, "mirrored": turned, "confidence": float(score), "risk": "medium" if n >= 4 and error <= 0.04 and np.mean(each) >= 0.68 else "low"}
-        if best:
-            return best
-    return None
-
-
 DOTS = "matched_spots int, layout_error double, appearance double, profile double, least_spot double, layout double, spot_scale double, spot_rotation double, mirrored boolean, confidence double, risk string"
-
-
-def dot_blots(decoded: DataFrame) -> DataFrame:
-    """The best pair of spot arrays of each pair of pages. Arrays meet by the rounded ratios of neighbouring gaps, in both directions."""
-    found = regions(decoded, dot_regions)
-
-    def signatures(boxes: pd.Series) -> pd.Series:
-        out = []
-        for some in boxes:
-            keys = set()
-            for line in _layouts([list(b) for b in some], 3):
-                one, two = np.linalg.norm(line[1] - line[0]), np.linalg.norm(line[2] - line[1])
-                for ratio in (one / max(two, 1e-9), two / max(one, 1e-9)):
-                    at = 8 * np.log2(np.clip(ratio, 0.1, 10))
-                    keys |= {int(np.floor(at)), int(np.floor(at + 0.5)) + 1000}
-            out.append(sorted(keys))
-        return pd.Series(out)
-
-    keyed = found.withColumn("keys", F.pandas_udf(signatures, "array<int>")("boxes"))
-    pairs = with_both(banded(keyed, F.col("keys")).select("id", "id2"), found, [c for c in _COLUMNS if c != "id"])
+#: Up to so many arrays all pairs are compared; beyond, a bucket's array meets so many that came before it.
+DOT_PAIRS, DOT_BUCKET = 64, 32
+
+
+def dot_candidates(found: DataFrame, bucket: int | None = DOT_BUCKET, all_pairs: int = DOT_PAIRS) -> DataFrame:
+    """id, id2: all pairs of few arrays; of more, those that share a signature, each with the last `bucket` arrays before it in a signature's order of ids (None: with all)."""
+    ids = found.select("id")
+    if found.count() <= all_pairs:
+        other = ids.select(F.col("id").alias("id2"))  # a few thousand pairs at most
+        return ids.join(F.broadcast(other), F.col("id") < F.col("id2"))
+    keys = F.pandas_udf(lambda s: pd.Series([dots.signatures(x) for x in s]), "array<int>")("extra")
+    if bucket is None:
+        return banded(found.withColumn("keys", keys), F.col("keys")).select("id", "id2")
+    placed = found.select("id", F.explode(keys).alias("key")).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+    later = placed.withColumn("block", F.floor(F.col("place") / bucket))
+    earlier = placed.select(F.col("id").alias("earlier"), "key", F.col("place").alias("before"), F.explode(F.array(F.floor(F.col("place") / bucket), F.floor(F.col("place") / bucket) + 1)).alias("block"))
+    met = later.join(earlier, ["key", "block"]).where((F.col("before") < F.col("place")) & (F.col("place") - F.col("before") <= bucket))
+    return met.select(F.col("earlier").alias("id"), F.col("id").alias("id2")).distinct()
+
+
+def dot_blots(decoded: DataFrame, bucket: int | None = DOT_BUCKET) -> DataFrame:
+    """The best pair of spot arrays of each pair of pages."""
+    found = regions(decoded, dots.regions)
+    pairs = with_both(dot_candidates(found, bucket), found, [c for c in _COLUMNS if c != "id"])
     pairs = pairs.where("source_path_1 <> source_path_2 or page_1 <> page_2")
-    return best_of(checked(pairs, dot_check, DOTS), ["first_page", "second_page"], [F.desc("matched_spots"), F.desc("confidence")]).withColumn("rule_id", F.lit("image.dot_blot.spot_array_reuse"))
+    check = lambda r: dots.compare(r["structure_1"], r["extra_1"], r["structure_2"], r["extra_2"])
+    return best_of(checked(pairs, check, DOTS), ["first_page", "second_page"], [F.desc("matched_spots"), F.desc("confidence")]).withColumn("rule_id", F.lit("image.dot_blot.spot_array_reuse"))
 
 
 # --- fluorescence ----------------------------------------------------------------------------------------------------------

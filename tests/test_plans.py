@@ -136,3 +136,23 @@ def test_picture_scan_keeps_the_strongest_rule(spark):
     assert review.only(frame, "data").count() == 0 and review.only(frame, "image", status="pending").count() == len(found)
     with pytest.raises(ValueError):
         review.only(frame, "x")
+
+
+def test_a_rule_that_its_first_findings_leave_short_is_walked_on(spark, monkeypatch):
+    from echotrace.plans import quality
+
+    rows = [(f"f{i:04d}", "r1" if i % 3 else "r2", "high", 1000 - i, 1, 0.5, ["a", "b"] if i < 60 else [f"s{i % 7}"]) for i in range(200)]
+    found = spark.createDataFrame(rows, "finding_id string, rule_id string, risk string, matched_count int, distinct_count int, confidence double, sheets array<string>")
+    want = sorted(r.finding_id for r in quality.diverse(found, limit=20, per_scope=3).collect())
+    monkeypatch.setattr(quality, "WALKED", 2)
+    assert sorted(r.finding_id for r in quality.diverse(found, limit=20, per_scope=3).collect()) == want
+    plain = []
+    for rule in ("r1", "r2"):
+        used, n = {}, 0
+        for f, _, _, _, _, _, sheets in (r for r in rows if r[1] == rule):
+            if n < 20 and any(used.get(s, 0) < 3 for s in sheets):
+                plain.append(f)
+                n += 1
+                for s in sheets:
+                    used[s] = used.get(s, 0) + 1
+    assert want == sorted(plain)
