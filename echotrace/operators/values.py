@@ -176,8 +176,20 @@ def _cuts(rows: DataFrame, column: str) -> list[float]:
 
 
 def _range_of(value: Column, cuts: list[float]) -> Column:
-    edges = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    return F.size(F.filter(edges, lambda e: e < value))  # few edges: one for each partition
+    """How many of the ascending cuts are less than the value, by halving."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value > cuts[middle], between(middle + 1, high)).otherwise(between(low, middle))
+
+    if len(cuts) <= 256:
+        return between(0, len(cuts))
+    # more cuts than an expression should hold: the block first, then its own cuts by their place in the list
+    edges, step = F.array(*map(F.lit, cuts)), 256
+    block = _range_of(value, cuts[step - 1 :: step])
+    return block * step + F.size(F.filter(F.slice(edges, block * step + 1, F.lit(step)), lambda e: e < value))
 
 
 def _nearest(wanted: DataFrame, values: DataFrame) -> DataFrame:
@@ -196,8 +208,9 @@ def _nearest(wanted: DataFrame, values: DataFrame) -> DataFrame:
     around = parts.select("part", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("under"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("over"))
     asked = wanted.withColumn("part", part(F.col("w")))
     both = asked.withColumn("v", F.lit(None).cast("double")).unionByName(held.select("*", F.col("v").alias("w")), allowMissingColumns=True)
-    order = Window.partitionBy("part").orderBy("w", F.col("v").isNull())
-    both = both.withColumn("low", F.last("v", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("high", F.first("v", True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    # both neighbours as the last value so far, upwards and downwards: a frame of all rows to come costs the square of a range
+    neighbour = lambda *order: F.last("v", True).over(Window.partitionBy("part").orderBy(*order, F.col("v").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("low", neighbour(F.asc("w"))).withColumn("high", neighbour(F.desc("w")))
     found = both.where("v is null").drop("v").join(F.broadcast(around), "part")
     low, high = F.coalesce("low", "under"), F.coalesce("high", "over")
     return found.withColumn("v", F.when(low.isNull() | (F.abs(high - F.col("w")) < F.abs(low - F.col("w"))), high).otherwise(F.coalesce(low, high))).drop("part", "low", "high", "under", "over")
@@ -214,7 +227,10 @@ def cell_operations(cells: DataFrame, settings: Settings = Settings()) -> DataFr
     first, target = F.col("first"), F.col("target")
     need = {"add": target - first, "subtract": first - target, "multiply": F.try_divide(target, first), "divide": F.try_divide(first, target)}
     asked = with_target.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("operation"), w.alias("w")) for k, w in need.items()))).alias("o")).select("first", "first_cells", "i", "target", "o.operation", "o.w").where("w is not null")
-    tried = _nearest(asked, values.select("v")).withColumnRenamed("v", "second")
+    # a product of 0 needs the partner 0 whatever the first value is: one lookup for all of them
+    zero = values.agg(F.min_by("v", F.struct(F.abs("v"), "v")).alias("v"))
+    alone = asked.where("w = 0").crossJoin(F.broadcast(zero))  # one row
+    tried = _nearest(asked.where("w <> 0"), values.select("v")).select(*asked.columns, "v").unionByName(alone.select(*asked.columns, "v")).withColumnRenamed("v", "second")
     second, op = F.col("second"), F.col("operation")
     result = F.when(op == "add", first + second).when(op == "subtract", first - second).when(op == "multiply", first * second).otherwise(F.try_divide(first, second))
     plain = first.isin(0.0, 1.0) & second.isin(0.0, 1.0)

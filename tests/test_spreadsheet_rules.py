@@ -222,3 +222,33 @@ def test_rules_end_at_their_limit(spark, monkeypatch):
     longest = sorted(F_ for (F_,) in best.select("maximum_length").collect())
     got = sorted(r.n for r in found.where("rule_id = 'excel.digit_fragment'").select(F.get_json_object("details", "$.maximum_length").cast("int").alias("n")).collect())
     assert got == longest
+
+
+def test_many_values_and_a_target_of_zero(spark):
+    """A product of 0 asks every value for the same partner; the nearest values equal a plain search."""
+    import bisect
+
+
+    n = 100_000
+    df = spark.range(n).select((F.col("id") * 7 % n / 4 - 9000).alias("v"))
+    held = sorted(i * 7 % n / 4 - 9000 for i in range(n))
+    asked = [(float(i), w) for i, w in enumerate([-1e9, -9000.0, -0.01, 0.01, 0.125, 3.3, 15999.75, 1e9, *(k * 1.37 - 8000 for k in range(300))])]
+    got = {r.a: r.v for r in values._nearest(spark.createDataFrame(asked, "a double, w double"), df).collect()}
+    for a, w in asked:
+        at = bisect.bisect_left(held, w)
+        want = min((abs(x - w), x) for x in held[max(0, at - 1) : at + 1])[1]
+        assert got[a] == want
+    cells = df.select(F.col("v").cast("string").alias("canonical_value"))
+    found = values.cell_operations(cells, Settings(operation_targets=(0.0, 31999.5)))
+    rows = {(r.operation, r.first, r.second, r.target) for r in found.where("target = 31999.5 or operation = 'add'").collect()}
+    assert ("add", 15999.75, 15999.75, 31999.5) not in rows and ("add", -3.25, 3.25, 0.0) in rows and ("add", -9000.0, 9000.0, 0.0) in rows
+    assert found.where("operation = 'multiply' and target = 0").count() == 0  # a factor of 0 is trivial
+
+
+def test_ranges_by_halving(spark):
+
+    cuts = [float(x) for x in range(0, 3000, 2)]
+    df = spark.createDataFrame([(x / 2,) for x in range(-4, 6200, 3)], "v double")
+    for some in ([], cuts[:1], cuts[:255], cuts):
+        got = df.select("v", values._range_of(F.col("v"), some).alias("r")).collect()
+        assert all(r.r == sum(c < r.v for c in some) for r in got)
