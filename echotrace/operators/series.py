@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -149,6 +149,10 @@ def without_derived(pairs: DataFrame) -> DataFrame:
     return derived(pairs).where("derived_side is null").drop("derived_side", "derived_by")
 
 
+#: The relations of a pair, the first that holds leading.
+RELATIONS = ("exact", "scale", "offset", "target_sum", "target_product", "target_difference", "target_quotient")
+
+
 class _Relations:
     """The relations of many pairs of series of one length at once: arrays with a row a pair."""
 
@@ -179,10 +183,13 @@ class _Relations:
             rows, some = rows[~hit], some[~hit]
         return out
 
-    def found(self, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> dict[str, np.ndarray]:
-        """The parameter of each rule that holds; no number where it doesn't."""
-        nothing, (big_a, big_b) = np.full(len(a), np.nan), (np.abs(x).max(1) for x in (a, b))
-        scale, offset = nothing.copy(), nothing.copy()
+    def found(self, a: np.ndarray, b: np.ndarray, same: np.ndarray, wanted: tuple[str, ...] = RELATIONS) -> dict[str, np.ndarray]:
+        """The parameter of each wanted rule that holds, in the order of RELATIONS; no number where it doesn't."""
+        rules = {"exact": lambda: np.where(same, 1.0, np.nan), "scale": lambda: self.scale(a, b, same), "offset": lambda: self.offset(a, b, same), **{f"target_{k}": f for k, f in self.combined(a, b, same).items()}}
+        return {name: rules[name]() for name in RELATIONS if name in wanted}
+
+    def scale(self, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
+        scale = np.full(len(a), np.nan)
         zeros = (a == 0).any(1)
         ratio = np.divide(b, a, out=np.full(a.shape, np.nan), where=a != 0)
         smallest = np.abs(np.where(a == 0, np.inf, a)).min(1)
@@ -192,23 +199,34 @@ class _Relations:
             f = np.where(zeros[rows], np.nanmedian(ratio[rows], axis=1), np.median(ratio[rows], axis=1))
             hit = self.close(b[rows], f[:, None] * a[rows]).all(1) & ~self.close(f, 1.0)
             scale[rows[hit]] = f[hit]
-        apart = b - a
+        return scale
+
+    def offset(self, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
+        offset, apart, (big_a, big_b) = np.full(len(a), np.nan), b - a, (np.abs(x).max(1) for x in (a, b))
         rows = np.flatnonzero(~same & self.narrow(apart, 2 * (big_a + big_b)))
         if len(rows):
             f = np.median(apart[rows], axis=1)
             hit = self.close(b[rows], a[rows] + f[:, None]).all(1) & ~self.close(f, 0.0)
             offset[rows[hit]] = f[hit]
-        product = self.target(a * b)
-        product[product == 0] = np.nan
-        difference, quotient = nothing.copy(), nothing.copy()
-        difference[~same] = self.target((a - b)[~same])
-        whole = ~same & (b != 0).all(1)
-        quotient[whole] = self.target(a[whole] / b[whole])
-        names = ("exact", "scale", "offset", "target_sum", "target_product", "target_difference", "target_quotient")
-        return dict(zip(names, (np.where(same, 1.0, np.nan), scale, offset, self.target(a + b), product, difference, quotient)))
+        return offset
+
+    def combined(self, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> dict[str, Callable[[], np.ndarray]]:
+        """How to look for one target of all sums, products, differences and quotients; equal series have no difference or quotient, and 0 is no product."""
+
+        def of(rows: np.ndarray, combine: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+            out = np.full(len(a), np.nan)
+            out[rows] = self.target(combine(a[rows], b[rows]))
+            return out
+
+        def product() -> np.ndarray:
+            out = of(np.ones(len(a), bool), np.multiply)
+            out[out == 0] = np.nan
+            return out
+
+        return {"sum": lambda: of(np.ones(len(a), bool), np.add), "product": product, "difference": lambda: of(~same, np.subtract), "quotient": lambda: of(~same & (b != 0).all(1), np.divide)}
 
 
-def _related(pairs: DataFrame, settings: Settings) -> DataFrame:
+def _related(pairs: DataFrame, settings: Settings, wanted: tuple[str, ...]) -> DataFrame:
     """first_id, second_id, a, b (values of one length), same to first_id, second_id, rule_id, parameter, leading: a row for each relation; the first of a pair leads."""
     schema = pa.schema([("first_id", pa.string()), ("second_id", pa.string()), ("rule_id", pa.string()), ("parameter", pa.float64()), ("leading", pa.bool_())])
 
@@ -224,7 +242,7 @@ def _related(pairs: DataFrame, settings: Settings) -> DataFrame:
                     some = rows[at : at + max(1, NUMBERS // n)]
                     cells = starts[some][:, None] + np.arange(n)
                     with np.errstate(all="ignore"):
-                        found = rules.found(a[cells], b[cells], same[some])
+                        found = rules.found(a[cells], b[cells], same[some], wanted)
                     met = np.zeros(len(some), bool)
                     for rule, parameter in found.items():
                         hit = np.flatnonzero(~np.isnan(parameter))
@@ -241,16 +259,16 @@ def _related(pairs: DataFrame, settings: Settings) -> DataFrame:
 NUMBERS = 1 << 17
 
 
-def relations(series: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def relations(series: DataFrame, settings: Settings = Settings(), wanted: tuple[str, ...] = RELATIONS) -> DataFrame:
     """first, second, rule_id, parameter, matched_count, risk: how one series follows from the other, one row for each relation; relation and relation_parameter are those that were met.
 
     A derived pair with a relation gives one excel.series.normal_derived row in their place. Pairs meet by their values alone; the series
-    themselves join those that are related.
+    themselves join those that are related. wanted: the relations that are looked for, of RELATIONS.
     """
     sound = series.where(informative(F.col("vals"), F.lit(0.0)))
     side = lambda i, v, h: sound.select(F.col("series_id").alias(i), F.col("vals").alias(v), F.xxhash64("canon").alias(h))
     pairs = relation_pairs(sound).join(side("first_id", "a", "h"), "first_id").join(side("second_id", "b", "h2"), "second_id")
-    found = _related(pairs.select("first_id", "second_id", "a", "b", ((F.col("h") == F.col("h2")) & (F.col("a") == F.col("b"))).alias("same")), settings)
+    found = _related(pairs.select("first_id", "second_id", "a", "b", ((F.col("h") == F.col("h2")) & (F.col("a") == F.col("b"))).alias("same")), settings, wanted)
     related = derived(with_series(found, series)).where("derived_side is null or leading")
     normal = F.col("derived_side").isNotNull()
     rule, parameter = F.when(normal, "excel.series.normal_derived").otherwise(F.col("rule_id")), F.when(~normal, F.col("parameter"))

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echotrace.functions import expr as X
+from echotrace.functions.folders import shared_folder
 from echotrace.model import Settings
 from echotrace.operators import regions, series, similarity, values
 from echotrace.plans import evaluate, exports, quality, review
+from echotrace.sources import sheets
 from echotrace.sources.tables import melt
 from echotrace.vision import pages as vision_pages, scan as vision_scan
 
@@ -120,6 +122,18 @@ def cell_operation(spark: SparkSession, sf: str) -> DataFrame:
     return values.cell_operations(_part(spark, sf), SETTINGS).drop("result")
 
 
+@query(
+    "SELECT column_header, count(*) AS cell_count, count(DISTINCT v) AS distinct_values, round(sum(v), 2) AS total FROM (SELECT unnest(['p_partkey', 'p_size', 'p_retailprice']) AS column_header, "
+    "unnest([p_partkey::DOUBLE, p_size::DOUBLE, p_retailprice]) AS v FROM part) WHERE v IS NOT NULL GROUP BY 1"
+)
+def sheet_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as CSV files in the shared folder, read back by the data source: the numeric cells below each header."""
+    folder = shared_folder(spark, "sheets")
+    _t(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_retailprice").write.option("header", True).csv(folder)
+    found = sheets.cells(sheets.scan(spark, folder)).withColumn("v", F.col("canonical_value").cast("double"))
+    return found.groupBy("column_header").agg(F.count("*").alias("cell_count"), F.countDistinct("v").alias("distinct_values"), F.round(F.sum("v"), 2).alias("total"))
+
+
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of 40 parts as series: 2 x, x, 1000 - x and 1000 / x of the price, under headers that tell of nothing derived."""
     rows = _t(spark, sf, "part").withColumns({"block": F.floor(F.col("p_partkey") / 40).cast("int"), "x": _hundredths("p_retailprice")})
@@ -164,7 +178,7 @@ def _named(df: DataFrame) -> list:
 
 def _relation(rule: str) -> None:
     def f(spark: SparkSession, sf: str) -> DataFrame:
-        found = series.relations(_lines(spark, sf), SETTINGS).where(F.col("rule_id") == f"excel.series.{rule}")
+        found = series.relations(_lines(spark, sf), SETTINGS, (rule,)).where(F.col("rule_id") == f"excel.series.{rule}")
         return found.select(*_named(found), F.round("parameter", 6).alias("parameter"), F.col("matched_count").cast("long").alias("matched_count"), "risk")
 
     f.__name__ = f"series_{rule}"
