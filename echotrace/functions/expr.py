@@ -25,6 +25,35 @@ def header_text(value: Column | str) -> Column:
     return F.when(text != "", text)
 
 
+#: A cell or range of cells in a formula, perhaps on another sheet.
+OPERAND = r"(?:(?:'[^']*'|[A-Za-z0-9_.]+)!)?\$?([A-Za-z]{1,3})\$?([0-9]{1,7})(?::\$?([A-Za-z]{1,3})\$?([0-9]{1,7}))?"
+
+
+def letters_number(letters: Column) -> Column:
+    """A to 1, AA to 27, in either case."""
+    ranks = F.transform(F.sequence(F.lit(1), F.length(letters)), lambda i: F.ascii(F.substr(F.upper(letters), i, F.lit(1))) - 64)
+    return F.aggregate(ranks, F.lit(0), lambda n, x: n * 26 + x)
+
+
+def operands(formula: Column) -> Column:
+    """left, top, right, bottom of each cell or range that a formula names; text in quotes counts as text. A null formula names none."""
+    plain = F.regexp_replace(F.coalesce(formula, F.lit("")), '"[^"]*"', '""')
+    parts = F.arrays_zip(*(F.regexp_extract_all(plain, F.lit(OPERAND), F.lit(i)).alias(n) for i, n in enumerate(("a", "b", "c", "d"), 1)))
+
+    def box(x: Column) -> Column:
+        lone = F.length(x["c"]) == 0
+        left, top = letters_number(x["a"]), x["b"].cast("int")
+        right, bottom = F.when(lone, left).otherwise(letters_number(x["c"])), F.when(lone, top).otherwise(x["d"].cast("int"))
+        return F.struct(F.least(left, right).alias("left"), F.least(top, bottom).alias("top"), F.greatest(left, right).alias("right"), F.greatest(top, bottom).alias("bottom"))
+
+    return F.transform(parts, box)
+
+
+def covers(boxes: Column, column: Column, row: Column) -> Column:
+    """Whether one of the boxes holds the cell."""
+    return F.exists(boxes, lambda b: column.between(b["left"], b["right"]) & row.between(b["top"], b["bottom"]))
+
+
 def column_letter(number: Column | str) -> Column:
     """1 to A, 27 to AA, up to three letters."""
     n = F.col(number) if isinstance(number, str) else number

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,9 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echotrace.functions.expr import DERIVED_HEADER, close, column_letter, informative, risk_for_run
+from echotrace.functions.expr import DERIVED_HEADER, close, column_letter, covers, informative, operands, risk_for_run
 from echotrace.model import ALL_PAIRS, BUCKET_LIMIT, Settings
-from echotrace.sources.sheets import column_number
 
 KEY = ("source_path", "sheet", "column", "header_row")
 #: Headers that name a running number.
@@ -108,33 +106,19 @@ def pattern_pairs(series: DataFrame) -> DataFrame:
     return without_derived(with_series(_pair_ids(series, _with_shapes(series, 100, 16), F.array(F.col("shape").cast("string")), BUCKET_LIMIT), series))
 
 
-_REFERENCE = re.compile(r"(?:(?:'[^']*'|[A-Za-z0-9_.]+)!)?\$?([A-Za-z]{1,3})\$?([0-9]{1,7})(?::\$?([A-Za-z]{1,3})\$?([0-9]{1,7}))?")
-
-
-def references(formula: str | None, column: int, row: int) -> bool:
-    """Whether a formula's cell or range operands cover a cell; text in quotes counts as text."""
-    for a, b, c, d in _REFERENCE.findall(re.sub(r'"[^"]*"', '""', formula or "")):
-        left, top = column_number(a), int(b)
-        right, bottom = (column_number(c), int(d)) if c else (left, top)
-        if min(left, right) <= column <= max(left, right) and min(top, bottom) <= row <= max(top, bottom):
-            return True
-    return False
-
-
-def _covered(formulas: pd.Series, columns: pd.Series, rows: pd.Series) -> pd.Series:
-    return pd.Series([sum(references(f, c, r) for f, r in zip(fs, rs)) if any(fs) else 0 for fs, c, rs in zip(formulas, columns, rows)])
+def _covered(formulas: Column, column: Column, rows: Column) -> Column:
+    """In how many rows the formula has an operand that covers the cell of that column."""
+    return F.size(F.filter(F.arrays_zip(formulas.alias("formula"), rows.alias("row")), lambda x: covers(operands(x["formula"]), column, x["row"])))
 
 
 def derived(pairs: DataFrame) -> DataFrame:
     """Adds derived_side (first, second or null) and derived_by (formula or header): pairs of one sheet and the same rows, of which one is computed from the other."""
-    covered = F.pandas_udf(_covered, "int")
     aligned = (F.col("first.source_path") == F.col("second.source_path")) & (F.col("first.sheet") == F.col("second.sheet")) & (F.col("first.n") == F.col("second.n")) & (F.col("first.n") >= 3) & (F.col("first.rows") == F.col("second.rows"))
     has = lambda side: aligned & F.exists(F.col(f"{side}.formulas"), lambda x: x.isNotNull())
-    empty = F.array().cast("array<string>")
     with_counts = pairs.withColumns(
         {
-            "by_second": covered(F.when(has("second"), F.col("second.formulas")).otherwise(empty), F.col("first.column"), F.col("first.rows")),
-            "by_first": covered(F.when(has("first"), F.col("first.formulas")).otherwise(empty), F.col("second.column"), F.col("second.rows")),
+            "by_second": F.when(has("second"), _covered(F.col("second.formulas"), F.col("first.column"), F.col("first.rows"))).otherwise(0),
+            "by_first": F.when(has("first"), _covered(F.col("first.formulas"), F.col("second.column"), F.col("second.rows"))).otherwise(0),
         }
     )
     need = F.greatest(F.lit(3), F.ceil(F.col("first.n") * 0.8))

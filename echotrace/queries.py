@@ -134,6 +134,25 @@ def sheet_cells(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("column_header").agg(F.count("*").alias("cell_count"), F.countDistinct("v").alias("distinct_values"), F.round(F.sum("v"), 2).alias("total"))
 
 
+@query(
+    "WITH p AS (SELECT p_partkey AS k, p_partkey // 40 AS block FROM part), c AS (SELECT block, count(*) AS n, count_if(block % 3 = 0 AND k % 5 <> 0 OR block % 3 = 1 AND k % 4 <> 0) AS covered FROM p GROUP BY 1 HAVING count(*) >= 3) "
+    "SELECT block, CASE WHEN covered >= greatest(3, ceil(n * 0.8)) THEN 'second' END AS derived_side, CASE WHEN covered >= greatest(3, ceil(n * 0.8)) THEN 'formula' END AS derived_by FROM c"
+)
+def formula_derived(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of 40 parts in two columns, of which the second has formulas in some rows: single cells, ranges turned round on a named sheet, and text that only looks like a cell."""
+    rows = _t(spark, sf, "part").withColumn("block", F.floor(F.col("p_partkey") / 40).cast("int"))
+    cells = melt(rows, "part", F.col("p_partkey") + 1, {"a": _hundredths("p_retailprice"), "b": _hundredths("p_retailprice") * 2}, header_row=F.col("block"))
+    kind, k = F.col("header_row") % 3, F.col("row") - 1
+    one, turned = F.format_string("=A%d*2", F.col("row")), F.format_string("=SUM('x y'!$A$%d:a%d)", F.col("row") + 2, k)
+    quoted = F.format_string('="A%d"&B%d', F.col("row"), F.col("row"))
+    some = F.when(((kind == 0) & (k % 5 != 0)) | ((kind == 1) & (k % 4 != 0)), F.when(k % 2 == 0, one).otherwise(turned)).when(kind == 2, quoted)
+    cells = cells.withColumn("formula", F.when(F.col("column") == 2, some))
+    lines = series.build(cells, SETTINGS.medium_run_length)
+    side = lambda c, name: lines.where(F.col("column") == c).select("header_row", F.col("series_id").alias(name))
+    pairs = side(1, "first_id").join(side(2, "second_id"), "header_row").select("first_id", "second_id")
+    return series.derived(series.with_series(pairs, lines)).select(F.col("first.header_row").cast("long").alias("block"), "derived_side", "derived_by")
+
+
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of 40 parts as series: 2 x, x, 1000 - x and 1000 / x of the price, under headers that tell of nothing derived."""
     rows = _t(spark, sf, "part").withColumns({"block": F.floor(F.col("p_partkey") / 40).cast("int"), "x": _hundredths("p_retailprice")})

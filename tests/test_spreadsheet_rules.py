@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from echotrace.functions import expr as X
 from echotrace.model import Settings
 from echotrace.operators import regions, series, values
 from echotrace.plans import quality, review, scan
@@ -165,8 +166,33 @@ def test_derived_column_is_normal(spark):
 
 
 @pytest.mark.parametrize(("formula", "hit"), [("=A3/10", True), ("=SUM($A$1:$B$9)", True), ("='My sheet'!A3", True), ('="A3"', False), ("=B3", False), (None, False)])
-def test_references(formula, hit):
-    assert series.references(formula, 1, 3) is hit
+def test_references(spark, formula, hit):
+    row = spark.createDataFrame([(formula,)], "f string").select(X.covers(X.operands(F.col("f")), F.lit(1), F.lit(3)).alias("hit")).first()
+    assert row.hit is hit
+
+
+def test_operands_equal_a_plain_reading(spark):
+    import random
+    import re
+
+    rng, cell = random.Random(3), lambda r: f"{r.choice(['', '$'])}{r.choice(['A', 'b', 'Z', 'AA', 'xfd', 'BC'])}{r.choice(['', '$'])}{r.randint(1, 40)}"
+    formulas = [rng.choice(["=", "=-", "=SUM("]) + rng.choice(["+", ",", "*", '&"A1"&']).join(cell(rng) + rng.choice(["", ":" + cell(rng)]) for _ in range(rng.randint(1, 4))) for _ in range(80)] + ["", "=1+2", "='it s'!A1:B2", None]
+
+    def number(letters):
+        n = 0
+        for c in letters.upper():
+            n = n * 26 + ord(c) - 64
+        return n
+
+    want = []
+    for f in formulas:
+        boxes = []
+        for a, b, c, d in re.findall(X.OPERAND, re.sub('"[^"]*"', '""', f or "")):
+            x, y = sorted((number(a), number(c or a))), sorted((int(b), int(d or b)))
+            boxes.append((x[0], y[0], x[1], y[1]))
+        want.append(boxes)
+    got = spark.createDataFrame(list(enumerate(formulas)), "i int, f string").select("i", X.operands(F.col("f")).alias("o")).orderBy("i").collect()
+    assert [[tuple(b) for b in r.o] for r in got] == want and sum(map(len, want)) > 100
 
 
 def test_running_numbers_go(spark):
