@@ -278,3 +278,17 @@ def test_ranges_by_halving(spark):
     for some in ([], cuts[:1], cuts[:255], cuts):
         got = df.select("v", values._range_of(F.col("v"), some).alias("r")).collect()
         assert all(r.r == sum(c < r.v for c in some) for r in got)
+
+
+def test_copies_of_series_are_compared_once(spark, monkeypatch):
+    from echotrace.model import CELLS
+
+    kinds = [lambda i: 7 + i * i, lambda i: 2 * (7 + i * i), lambda i: 50 - i * i]
+    rows = [("f", f"s{k:03d}", r + 2, 1, f"A{r + 2}", str(kinds[k % 3](r)), str(kinds[k % 3](r)), False, "h", 1, None) for k in range(270) for r in range(5)]
+    compared, before = [], series._related
+    monkeypatch.setattr(series, "_related", lambda pairs, *rest: compared.append(pairs.count()) or before(pairs, *rest))
+    found = series.relations(series.build(spark.createDataFrame(rows, CELLS), 3))
+    counts = {r.rule_id.removeprefix("excel.series."): r["count"] for r in found.groupBy("rule_id").count().collect()}
+    assert compared == [9]  # three classes in both directions, and each with itself
+    assert {k: counts[k] for k in ("exact", "scale")} == {"exact": 3 * 90 * 89 // 2, "scale": 90 * 90}
+    assert found.where("first.sheet >= second.sheet").count() == 0
