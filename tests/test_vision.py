@@ -116,3 +116,28 @@ def test_thumbnails_decode(spark, tmp_path):
     found = {r.source_path.rsplit("/", 1)[-1]: r for r in pages.images(spark, str(tmp_path)).collect()}
     assert bytes(found["a.png"].data) == a.tobytes() and found["bad.png"].data is None
     assert max(found["t.png"].width, found["t.png"].height) == 64
+
+
+def test_long_rows_go_out_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from echotrace.functions import rows
+
+    seen, whole = [], pa.RecordBatch.from_pylist
+
+    class Batches:
+        @staticmethod
+        def from_pylist(out, schema):
+            seen.append(len(out))
+            return whole(out, schema=schema)
+
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, f, schema):
+            batch = pa.RecordBatch.from_pylist([{"id": i} for i in range(300)])
+            monkeypatch.setattr(rows.pa, "RecordBatch", Batches)
+            return list(f(iter([batch])))
+
+    out = rows.map_rows(Frame(), "id int, v array<float>", lambda r: [{"id": r["id"], "v": [0.0] * 4096}])
+    assert sum(b.num_rows for b in out) == 300 and max(seen) <= 64
