@@ -293,3 +293,18 @@ def test_halves_match_at_other_scales(spark, scale):
     assert {p[2] for p in found.where("source_path = 'a.png'").first().points} == set(range(K.LEVELS))
     got = pages.local_pairs(found, pages.descriptor_votes(found)).collect()
     assert len(got) == 1 and got[0].scale == pytest.approx(1 / scale, rel=0.05) and abs(got[0].rotation) < 3
+
+
+def test_thumbnails_join_only_pairs_with_near_hashes(spark):
+    from echotrace.vision import pages
+
+    thumb = [float(i % 7) for i in range(4096)]
+    name = ("identity", "rotate_90", "rotate_180", "rotate_270", "flip_horizontal", "flip_vertical", "transpose", "transverse")
+    prints = lambda p, d: [(t, p if i == 0 else ~p, d if i == 0 else ~d) for i, t in enumerate(name)]
+    rows = [(f"p{k}", 1, 64, 64, thumb, 9.0, prints((k // 2) * 0x0F0F0F0F0F0F0F00, 5), None) for k in range(4)]  # p0, p1 are alike, p2, p3 are; all share bytes
+    kinds = "source_path string, page int, width int, height int, thumbnail array<float>, standard_deviation double, fingerprints array<struct<transform: string, phash: bigint, dhash: bigint>>, error string"
+    found = pages.perceptual_pairs(spark.createDataFrame(rows, kinds))
+    assert sorted((r.first, r.second, r.transform, r.phash_distance) for r in found.collect()) == [("p0#1", "p1#1", "identity", 0), ("p2#1", "p3#1", "identity", 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    meeting = [x for x in plan.splitlines() if "Join Inner" in x and "key" in x]
+    assert len(meeting) == 1 and "bit_count" in meeting[0]
