@@ -292,3 +292,37 @@ def test_copies_of_series_are_compared_once(spark, monkeypatch):
     assert compared == [9]  # three classes in both directions, and each with itself
     assert {k: counts[k] for k in ("exact", "scale")} == {"exact": 3 * 90 * 89 // 2, "scale": 90 * 90}
     assert found.where("first.sheet >= second.sheet").count() == 0
+
+
+def _plain(spark, values):
+    from echotrace.model import CELLS
+
+    rows = [("f", f"s{k:04d}", r, 1, f"A{r}", str(v), str(v), False, "h", 1, None) for k, vs in enumerate(values) for r, v in enumerate(vs, 2)]
+    return series.build(spark.createDataFrame(rows, CELLS), 3)
+
+
+def test_patterns_of_many_series_miss_no_pair(spark, monkeypatch):
+    draw = __import__("random").Random(5)
+    base = [[draw.randint(1, 50) for _ in range(12)] for _ in range(300)]  # beyond ALL_PAIRS
+    base[7], base[250] = base[3], [v + 900 * (i == 0) for i, v in enumerate(base[90])]  # equal; the first value differs, so shapes do
+    base[251] = [3 * v + 2 + 700 * (i in (0, 6)) for i, v in enumerate(base[3])]
+    base[252] = [v + 60 for v in reversed(base[140])]
+    monkeypatch.setattr(series, "BLOCK_SERIES", 64)  # several blocks
+    lines = _plain(spark, base)
+    named = lambda rule: {(r.first.sheet, r.second.sheet) for r in series.of_all_pairs(lines, rule).collect()}
+    assert named(series.near_duplicates) == {("s0090", "s0250")}
+    assert named(series.linear) >= {("s0003", "s0251"), ("s0007", "s0251")}
+    assert named(series.statistics) >= {("s0140", "s0252")}
+
+
+@pytest.mark.parametrize("rule", [series.near_duplicates, series.linear, series.statistics])
+def test_patterns_of_all_pairs_are_those_of_few(spark, rule):
+    settings = Settings(custom_relative_tolerance_percent=3) if rule is series.linear else Settings()
+    draw = __import__("random").Random(11)
+    base = [[draw.randint(1, 4) * 10 ** draw.randint(0, 2) for _ in range(draw.choice((4, 5, 8, 10)))] for _ in range(60)]
+    base += [[3 * v + 5 for v in x] for x in base[:20]] + [[v + (i == 1) for i, v in enumerate(x)] for x in base[:20]] + [[1e9 + v for v in x] for x in base[:10]] + base[:10]
+    lines = _plain(spark, base)
+    measures = lambda r: sorted((k, round(v, 6) if isinstance(v, float) else v) for k, v in r.asDict().items() if k not in ("first", "second"))
+    rows = lambda df: sorted((r.first.sheet, r.second.sheet, measures(r)) for r in df.collect())
+    expected = rows(rule(series.pattern_pairs(lines), settings))
+    assert expected and rows(series.of_all_pairs(lines, rule, settings)) == expected
