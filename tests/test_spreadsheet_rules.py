@@ -326,3 +326,26 @@ def test_patterns_of_all_pairs_are_those_of_few(spark, rule):
     rows = lambda df: sorted((r.first.sheet, r.second.sheet, measures(r)) for r in df.collect())
     expected = rows(rule(series.pattern_pairs(lines), settings))
     assert expected and rows(series.of_all_pairs(lines, rule, settings)) == expected
+
+
+def test_copies_of_sheets_are_compared_once(spark, monkeypatch):
+    grid = [[14, 27, 35, 14, 27], [41, 58, 62, 41, 58]]  # the first rows come again
+    rows, both = [], {}
+    for k in range(8):  # six copies, and two that lie two rows lower
+        for c, column in enumerate(grid, 1):
+            for r, v in enumerate([1, 3][:2 * (k > 5)] + column, 2):
+                rows.append(("f", f"s{k}", r, c, f"{sheets.letters(c)}{r}", str(v), str(v), False, "h", 1, None))
+                both[f"s{k}", r, c] = v
+    from echotrace.model import CELLS
+
+    df, met = spark.createDataFrame(rows, CELLS), []
+    before = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *rest, **more: met.append(self.count()) or before(self, *rest, **more))
+    found = regions.exact_regions(df).collect()
+    assert met[0] < 60  # 28 pairs of sheets hold 4 to 6 hits each
+    for x in found:
+        assert (x.a_source_path, x.a_sheet, x.a_row, x.a_column) < (x.b_source_path, x.b_sheet, x.b_row, x.b_column)
+        assert all(both[x.a_sheet, x.a_row + i, x.a_column + j] == both[x.b_sheet, x.b_row + i, x.b_column + j] for i in range(x.height) for j in range(x.width))
+    whole = {(x.a_sheet, x.b_sheet) for x in found if x.height >= 5}
+    assert whole == {(f"s{i}", f"s{j}") for i in range(8) for j in range(i + 1, 8)}
+    assert len(found) == len({tuple(x) for x in found}) and sum(x.a_sheet == x.b_sheet for x in found) == 8
