@@ -349,3 +349,33 @@ def test_copies_of_sheets_are_compared_once(spark, monkeypatch):
     whole = {(x.a_sheet, x.b_sheet) for x in found if x.height >= 5}
     assert whole == {(f"s{i}", f"s{j}") for i in range(8) for j in range(i + 1, 8)}
     assert len(found) == len({tuple(x) for x in found}) and sum(x.a_sheet == x.b_sheet for x in found) == 8
+
+
+def test_relations_read_their_series_from_one_table(spark, monkeypatch):
+    from echotrace.model import CELLS
+
+    def sheets_of(headers, formula=None):
+        rows = []
+        for k in range(6):
+            for c, f in ((1, 1), (2, 2)):
+                for r in range(5):
+                    v = str(f * (7 + r * r))
+                    rows.append(("f", f"s{k}", r + 2, c, f"{sheets.letters(c)}{r + 2}", v, v, False, headers(k, c), 1, f"=A{r + 2}*2" if formula == k and c == 2 else None))
+        return series.build(spark.createDataFrame(rows, CELLS), 3)
+
+    def named(lines):
+        found = series.relations(lines, wanted=("scale",)).select(F.col("first.sheet").alias("a"), F.col("second.sheet").alias("b"), "rule_id", "derived_side")
+        text = found._jdf.queryExecution().executedPlan().toString()
+        return text, sorted(((r.a, r.b, r.rule_id.removeprefix("excel.series."), r.derived_side) for r in found.collect()), key=lambda x: x[:3])
+
+    every = sorted((f"s{min(i, j)}", f"s{max(i, j)}", "scale", None) for i in range(6) for j in range(6))
+    for share in (256, 1):  # one task, or one for each member
+        monkeypatch.setattr(series, "SHARE_SERIES", share)
+        text, plain = named(sheets_of(lambda k, c: "h"))
+        assert plain == every
+        assert "collect_list" not in text and "formulas" not in text  # cells are gathered once, and no formulas travel
+        for lines, at in ((sheets_of(lambda k, c: "ratio" if (k, c) == (3, 2) else "h"), 3), (sheets_of(lambda k, c: "h", formula=4), 4)):
+            text, some = named(lines)
+            one = (f"s{at}", f"s{at}", "normal_derived", "second")
+            assert some == sorted([one, *(x for x in every if x[:2] != one[:2])], key=lambda x: x[:3])
+            assert "collect_list" not in text
