@@ -1,5 +1,6 @@
 """The rules on small sheets."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,3 +380,32 @@ def test_relations_read_their_series_from_one_table(spark, monkeypatch):
             one = (f"s{at}", f"s{at}", "normal_derived", "second")
             assert some == sorted([one, *(x for x in every if x[:2] != one[:2])], key=lambda x: x[:3])
             assert "collect_list" not in text
+
+
+@pytest.mark.parametrize("settings", [Settings(), Settings(custom_relative_tolerance_percent=1), Settings(absolute_tolerance=0.5)])
+def test_relations_of_many_series_are_those_of_all_pairs(spark, monkeypatch, settings):
+    draw = __import__("random").Random(9)
+    base = [[draw.randint(1, 900) / 4 for _ in range(4)] for _ in range(300)]  # more than were all compared before
+    x, off = base[5], 1 + 8e-10
+    base[260:267] = [[2 * v for v in x], [v + 60 for v in x], [1000 - v for v in x], [100 / v for v in x], [v - 10 for v in x], [v / 10 for v in x], [-3 * v for v in x]]
+    base[267:270] = [[2 * v * (off if i % 2 else 1) for i, v in enumerate(x)], [100 / v * (off if i == 2 else 1) for i, v in enumerate(x)], [x[0] * off + 60, *(v + 60 for v in x[1:])]]  # within tolerance
+    base[270], base[271], base[272] = [0, 3, 0, 5], [0, 6, 0, 10], [1e9 + v for v in x]
+    monkeypatch.setattr(series, "BLOCK_SERIES", 64)  # several blocks
+    found = series.relations(_plain(spark, base), settings).select(F.col("first.sheet").alias("i"), F.col("second.sheet").alias("j"), "rule_id", "parameter").collect()
+    i, j = np.triu_indices(len(base), 1)
+    a, b = np.array(base)[i], np.array(base)[j]
+    with np.errstate(all="ignore"):
+        expected = series._Relations(settings).found(a, b, (a == b).all(1))
+    pairs = {(f"s{i[k]:04d}", f"s{j[k]:04d}", f"excel.series.{rule}"): v[k] for rule, v in expected.items() for k in np.flatnonzero(~np.isnan(v))}
+    assert {(r.i, r.j, r.rule_id): r.parameter for r in found} == pairs and len(found) == len(pairs)
+    assert {r.rule_id for r in found} >= {f"excel.series.{r}" for r in series.RELATIONS if r != "exact"}
+
+
+def test_a_relation_alone_is_that_of_all(spark):
+    base = [[3, 8, 5, 20], [6, 16, 10, 40], [13, 18, 15, 30], [97, 92, 95, 80], [100 / 3, 12.5, 20, 5], [30, 80, 50, 200], [3, 8, 5, 20]]
+    lines = _plain(spark, base)
+    named = lambda df: sorted((r.first.sheet, r.second.sheet, r.rule_id, r.parameter) for r in df.collect())
+    every = named(series.relations(lines))
+    assert {r[2].removeprefix("excel.series.") for r in every} == set(series.RELATIONS)
+    for rule in series.RELATIONS:
+        assert named(series.relations(lines, wanted=(rule,))) == [r for r in every if r[2] == f"excel.series.{rule}"]
