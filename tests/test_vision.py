@@ -141,3 +141,20 @@ def test_long_rows_go_out_in_small_batches(spark, monkeypatch):
 
     out = rows.map_rows(Frame(), "id int, v array<float>", lambda r: [{"id": r["id"], "v": [0.0] * 4096}])
     assert sum(b.num_rows for b in out) == 300 and max(seen) <= 64
+
+
+def test_features_that_are_not_wanted_are_left_out(spark):
+    some = decoded(spark, {"a.png": texture(90, 70, seed=3, n=40), "b.png": texture(64, 64, seed=4, n=40)}).cache()
+    whole = {r.source_path: r for r in pages.page_features(some).collect()}
+    for wanted in ((), ("fingerprints", "standard_deviation"), ("thumbnail",)):
+        for r in pages.page_features(some, wanted).collect():
+            for c in r.asDict():
+                left_out = c in pages.PARTS and c not in wanted or c == "descriptors"
+                assert r[c] == (None if left_out else whole[r.source_path][c])
+
+
+def test_resized_pictures_do_not_change_with_what_is_kept():
+    a = np.random.default_rng(2).integers(0, 256, (64, 48)).astype(np.uint8)
+    assert (K.resize(a, 32, 32) == K._side(64, 32) @ a.astype(float) @ K._side(48, 32).T).all()
+    for n, m in ((640, 480), (20, 64), (64, 9)):
+        assert np.allclose(K.resize(np.full((n, n), 7, np.uint8), m, m), 7)
