@@ -409,3 +409,18 @@ def test_a_relation_alone_is_that_of_all(spark):
     assert {r[2].removeprefix("excel.series.") for r in every} == set(series.RELATIONS)
     for rule in series.RELATIONS:
         assert named(series.relations(lines, wanted=(rule,))) == [r for r in every if r[2] == f"excel.series.{rule}"]
+
+
+def test_statistics_of_classes_leave_their_values_behind(spark):
+    draw = __import__("random").Random(4)
+    base = [[draw.randint(1, 50) + 1000 * (i % 3 == 0) for i in range(9)] for _ in range(30)]
+    base += [[5, 5, 5, 5, 5, 5, 5, 5, 1e9], base[3], base[4][::-1], [0.1 * v for v in base[5]]]
+    lines = _plain(spark, base)
+    found = series.of_all_pairs(lines, series.statistics, places=6)
+    text = found.select("first.sheet", "second.sheet", "correlation")._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in text and "BroadcastHashJoin [first_class" not in text  # what was found is as much as pairs of classes
+    top = text[: text.index("SortMergeJoin")]
+    assert "round(" not in top  # members are far more than what was found
+    measures = lambda r: (r.first.sheet, r.second.sheet, r.summary_match, *(round(r[c], 6) for c in ("correlation", "normalized_mae", "mean_first", "mean_second", "sd_first", "sd_second")))
+    expected = sorted(measures(r) for r in series.statistics(series.pattern_pairs(lines)).collect())
+    assert expected and sorted(measures(r) for r in found.collect()) == expected
